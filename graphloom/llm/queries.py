@@ -17,6 +17,12 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"), length=400)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
