@@ -9,13 +9,15 @@ and Xiao et al., "Efficient Similarity Joins for Near Duplicate Detection", 2008
    told apart, the rest count as rare.  Any fixed order gives the same links, so this bound only
    affects speed.
 3. A document is indexed under its prefix: two sets with J >= t share a shingle in their first
-   n - ceil(t n) + 1 shingles.
+   n - ceil(t n) + 1 shingles.  Shingles in one prefix only go before any row is shuffled.
 4. Star round: in each bucket of a prefix shingle every member is paired with one leader only, so a
    bucket of m copies makes m - 1 candidates, not m * m.
 5. Residual round: only buckets that still hold several components, and there only pairs across
    components that don't lie both in the bucket's largest one.  No link that joins two components
    is lost, so the components are exactly those of all links.
-6. Every candidate passes the filters and is verified once on the whole sets.
+6. Every candidate passes the filters and is verified once on the whole sets.  The suffix filter
+   bounds the overlap by parts: both sets are cut into BUCKETS ranges of hashes, and what two parts
+   share is at most the smaller one.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ from graphloom.llm.store import materialise
 ORDER_TOP = 100_000  #: shingles whose frequency the order knows (12 bytes each on every executor)
 LOCAL_TOP = 20_000  #: most frequent shingles that a task reports for each LOCAL_SPAN shingles it saw
 LOCAL_SPAN = 2_000_000
-BUCKETS = 32  #: of the suffix filter
+BUCKETS = 128  #: of the suffix filter
+RANGE_ROWS = 1_000_000  #: prefix entries to a range of hashes, on average
+BROADCAST_HASHES = 4_000_000  #: shared prefix shingles up to which they are broadcast (about 64 MB)
 BROADCAST_IDS = 2_000_000  #: documents to verify, up to which their ids are broadcast (16 MB)
 
 
@@ -70,7 +74,7 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """One row a document: size and fingerprint of its set, its prefix, its suffix histogram."""
     known = docs.sparkSession.sparkContext.broadcast(top)
-    schema = "doc_id long, n long, s1 long, s2 long, prefix array<long>, suffix array<int>"
+    schema = "doc_id long, n long, s1 long, s2 long, prefix array<long>, parts array<int>"
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, times = known.value
@@ -93,8 +97,8 @@ def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.n
                     h = h[order]
                 keep = n - (percent * n + 99) // 100 + (n > 0)
                 early = np.arange(len(h)) - at[rows] < keep[rows]
-                histogram = np.zeros((count, BUCKETS), np.int32)
-                np.add.at(histogram, (rows[~early], (h[~early] >> np.uint64(59)).astype(np.int64)), 1)
+                cell = rows * BUCKETS + (h >> np.uint64(57)).astype(np.int64)
+                histogram = np.bincount(cell, minlength=count * BUCKETS).astype(np.int32)
                 ends = np.zeros(count + 1, np.int32)
                 np.cumsum(keep, out=ends[1:])
                 yield pa.RecordBatch.from_arrays(
@@ -104,14 +108,55 @@ def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.n
                         pa.array(prints[0]),
                         pa.array(prints[1]),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(h[early].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * BUCKETS), pa.array(histogram.ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * BUCKETS), pa.array(histogram)),
                     ],
-                    ["doc_id", "n", "s1", "s2", "prefix", "suffix"],
+                    ["doc_id", "n", "s1", "s2", "prefix", "parts"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(profile, schema)
 
 
+def _shared_hashes(reps: DataFrame) -> DataFrame:
+    """(h): shingles in the prefixes of two documents or more.
+
+    A task sends its hashes as sorted arrays, one for each range of hashes, in which a hash stands
+    once or twice however often the task met it; a range gathers those of all tasks.  The number of
+    ranges follows the data, so a range stays near RANGE_ROWS hashes of 8 bytes.
+    """
+    total = reps.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    ranges = max(16, -(-total // RANGE_ROWS))
+    width = np.uint64((1 << 64) // ranges + 1)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            h, n = np.unique(h, return_counts=True)
+            h = np.repeat(h, np.minimum(n, 2))
+            r, first = np.unique((h // width).astype(np.int32), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(r), pa.array([x.tobytes() for x in np.split(h, first[1:])] if len(h) else [], pa.binary())], ["r", "hashes"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        last = None
+
+        def twice() -> pa.RecordBatch:
+            h, n = np.unique(np.frombuffer(b"".join(held), np.int64), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1])], ["h"])
+
+        for batch in batches:
+            for r, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and r != last:
+                    yield twice()
+                    held = []
+                held.append(hashes)
+                last = r
+        if held:
+            yield twice()
+
+    sent = reps.select("prefix").mapInArrow(send, "r int, hashes binary")
+    return sent.repartition("r").sortWithinPartitions("r").mapInArrow(gather, "h long")
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, whole set): for the documents that have a candidate."""
 
@@ -141,9 +186,9 @@ def _positional_filter(percent: int) -> F.Column:
 
 def _verify(docs: DataFrame, pairs: DataFrame, profiles: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that are links; each pair is compared once, on the whole sets."""
-    brief = profiles.select("doc_id", "n", "suffix", F.size("prefix").alias("p"))
-    sides = pairs.join(brief.toDF("a", "a_n", "a_suffix", "a_p"), "a").join(brief.toDF("b", "b_n", "b_suffix", "b_p"), "b")
-    shared = F.expr("a_p + b_p + aggregate(zip_with(a_suffix, b_suffix, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
+    brief = profiles.select("doc_id", "n", "parts")
+    sides = pairs.join(brief.toDF("a", "a_n", "a_parts"), "a").join(brief.toDF("b", "b_n", "b_parts"), "b")
+    shared = F.expr("aggregate(zip_with(a_parts, b_parts, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
     pairs = materialise(sides.where(shared * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).select("a", "b").distinct(), "pairs")
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
@@ -184,10 +229,13 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     filled = profiles.where("n > 0 and doc_id is not null")
     copies = materialise(filled.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "copies")
     of_rep = filled.join(copies, ["n", "s1", "s2"])
-    reps = materialise(of_rep.where("doc_id = rep").select("doc_id", "n", "prefix", "suffix").dropDuplicates(["doc_id", "n"]), "reps")
+    reps = materialise(of_rep.where("doc_id = rep").select("doc_id", "n", "prefix", "parts").dropDuplicates(["doc_id", "n"]), "reps")
     entries = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h"))
-    leaders = entries.groupBy("h").agg(F.min(F.struct("n", "doc_id", "pos")).alias("lead"), F.count("*").alias("c")).where("c > 1")
-    shared = materialise(entries.join(leaders.select("h", "lead"), "h"), "shared")
+    hashes = materialise(_shared_hashes(reps), "hashes")
+    few = hashes.count() <= BROADCAST_HASHES
+    entries = materialise(entries.join(F.broadcast(hashes) if few else hashes, "h", "left_semi"), "entries")
+    leaders = entries.groupBy("h").agg(F.min(F.struct("n", "doc_id", "pos")).alias("lead"))
+    shared = materialise(entries.join(leaders, "h"), "shared")
     star = shared.where("doc_id <> lead.doc_id").select(
         F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("a_n"), F.col("lead.pos").alias("a_pos"), F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos")
     )
