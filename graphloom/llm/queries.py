@@ -23,6 +23,26 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"), length=400)
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.decontaminate import contained_items
+
+    return contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=5, percent=80)
+
+
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.secret_scan import scan
+
+    return scan(_read(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from graphloom.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), size=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
