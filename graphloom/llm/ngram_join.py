@@ -38,8 +38,7 @@ LOCAL_TOP = 20_000  #: most frequent shingles that a task reports for each LOCAL
 LOCAL_SPAN = 2_000_000
 BUCKETS = 128  #: of the suffix filter
 RANGE_ROWS = 1_000_000  #: prefix entries to a range of hashes, on average
-BROADCAST_HASHES = 4_000_000  #: shared prefix shingles up to which they are broadcast (about 64 MB)
-BROADCAST_IDS = 2_000_000  #: documents to verify, up to which their ids are broadcast (16 MB)
+BROADCAST_IDS = 500_000  #: documents to verify, up to which their ids are broadcast (about 30 MB)
 
 
 def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,8 +231,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     reps = materialise(of_rep.where("doc_id = rep").select("doc_id", "n", "prefix", "parts").dropDuplicates(["doc_id", "n"]), "reps")
     entries = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h"))
     hashes = materialise(_shared_hashes(reps), "hashes")
-    few = hashes.count() <= BROADCAST_HASHES
-    entries = materialise(entries.join(F.broadcast(hashes) if few else hashes, "h", "left_semi"), "entries")
+    entries = materialise(entries.join(hashes.hint("shuffle_hash"), "h", "left_semi"), "entries")
     leaders = entries.groupBy("h").agg(F.min(F.struct("n", "doc_id", "pos")).alias("lead"))
     shared = materialise(entries.join(leaders, "h"), "shared")
     star = shared.where("doc_id <> lead.doc_id").select(

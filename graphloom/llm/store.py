@@ -35,3 +35,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = table_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> SparkSession:
+    """Let Spark send at most ``rows`` rows to a Python worker at a time: texts are long, and two
+    workers share an executor's memory with its heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+    return spark

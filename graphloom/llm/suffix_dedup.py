@@ -43,7 +43,7 @@ GRAM = 32  #: bytes of an anchor
 HOT = 20_000  #: largest collection that one task takes
 BATCH = 30_000  #: documents of collections that are treated at a time, in whole collections
 PIECE = 1 << 22  #: windows of one text that are looked at together
-BROADCAST_IDS = 2_000_000  #: texts up to which their keys are broadcast to keep other texts out of a shuffle
+BROADCAST_IDS = 500_000  #: texts up to which their keys are broadcast to keep other texts out of a shuffle
 SECOND = (tn.BASE * 0x2545F4914F6CDD1D + 0x1234567) % (1 << 64) | 3  #: base of the second fingerprint
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
