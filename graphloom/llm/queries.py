@@ -65,6 +65,19 @@ def op5_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> Data
     return nearest_vectors(_read(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.store import table_path
+    from graphloom.llm.token_rollup import rollup_documents
+
+    return rollup_documents(_read(spark, sf_dir, "documents"), table_path(spark, "rollup"))
+
+
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.license_scan import scan
+
+    return scan(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
