@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -111,7 +112,6 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
 
 def accepted(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score is ``threshold`` or more, with all their columns."""
-    import pandas as pd
     from pyspark.sql.types import BooleanType
 
     known = docs.sparkSession.sparkContext.broadcast(model)

@@ -19,6 +19,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,7 +156,6 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret of ``text`` masked; all rows and all other columns stay."""
-    import pandas as pd
     from pyspark.sql.types import StringType
 
     @F.pandas_udf(StringType())

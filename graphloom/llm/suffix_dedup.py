@@ -32,6 +32,7 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -343,7 +344,7 @@ def kept_texts(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     again = rows.groupBy("t1", "t2").agg((F.count("*") > 1).alias("again"))
 
     @F.pandas_udf(BinaryType())
-    def strip(text, spans, again, n_bytes):
+    def strip(text: pd.Series, spans: pd.Series, again: pd.Series, n_bytes: pd.Series) -> pd.Series:
         out = []
         for t, s, more, n in zip(text, spans, again, n_bytes, strict=True):
             data, at, parts = t.encode(), 0, []
@@ -351,7 +352,6 @@ def kept_texts(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
                 parts.append(data[at:start])
                 at = end
             out.append(b"".join([*parts, data[at:]]))
-        import pandas as pd
 
         return pd.Series(out, dtype=object)
 

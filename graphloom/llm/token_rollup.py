@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,6 @@ def byte_count(text: str = "text") -> Column:
 
 def bpe_count(ranks: str) -> Callable[[str], Column]:
     """A counter of byte-level BPE tokens under the vocabulary of a ranks file."""
-    import pandas as pd
     from pyspark.sql.types import LongType
 
     from graphloom.llm.packing import load_encoding
