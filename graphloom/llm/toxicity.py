@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import labelled
 from graphloom.llm import textnum as tn
+from graphloom.llm.store import materialise
 
-FIT_ROWS = 8_000  #: labelled rows of each class that are learned from, at most
+FIT_ROWS = 3_000  #: labelled rows of each class that are learned from, at most
 VOCABULARY = 50_000  #: tokens of the model, those of the largest |z|
 PRIOR = 0.05  #: weight of the prior, as a share of all counts
 LEAST_Z = 2.0
@@ -72,26 +73,34 @@ def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """(h, toxic, clean): different left contexts of each token in each class."""
+    """(h, toxic, clean, toxic_early, clean_early): different left contexts of each token in each
+    class, in all rows and in those that don't calibrate."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = batch.column(1).to_numpy()
+            kind = batch.column(1).to_numpy() * 2 + batch.column(2).to_numpy(zero_copy_only=False)
             for first, buf, offs in tn.slices(batch.column(0)):
                 h, bounds = tokens(buf, offs)
                 before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])
                 before[bounds[:-1][np.diff(bounds) > 0]] = 0
-                row = np.repeat(label[first : first + len(offs) - 1], np.diff(bounds))
-                for value in (0, 1):
+                row = np.repeat(kind[first : first + len(offs) - 1], np.diff(bounds))
+                for value in range(4):
                     pair = np.unique(np.stack([h[row == value], before[row == value]]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64)), pa.array(np.full(pair.shape[1], value, np.int32))], ["h", "before", "label"])
+                    n = pair.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64)), pa.array(np.full(n, value // 2, np.int32)), pa.array(np.full(n, 1 - value % 2, np.int32))], ["h", "before", "label", "early"]
+                    )
 
-    seen = sample.select("text", "label").mapInArrow(contexts, "h long, before long, label int").distinct()
-    return seen.groupBy("h").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    seen = sample.select("text", "label", "calibrates").mapInArrow(contexts, "h long, before long, label int, early int")
+    seen = seen.groupBy("h", "before", "label").agg(F.max("early").alias("early"))
+    sums = {"toxic": "label", "clean": "1 - label", "toxic_early": "label * early", "clean_early": "(1 - label) * early"}
+    return materialise(seen.groupBy("h").agg(*[F.sum(F.expr(x)).alias(name) for name, x in sums.items()]), "tokens")
 
 
-def _token_scores(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Hashes (sorted), scores, clean shares; and the clean share of all other tokens."""
+def _token_scores(counts: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Hashes (sorted), scores, clean shares; and the clean share of all other tokens.  ``kind`` ends
+    the names of the columns of counts that are learned from."""
+    counts = counts.select("h", F.col(f"toxic{kind}").alias("toxic"), F.col(f"clean{kind}").alias("clean")).where("toxic + clean > 0")
     total = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     n1, n0 = float(total[0] or 0), float(total[1] or 0)
     a0 = max(1.0, PRIOR * (n1 + n0))
@@ -120,8 +129,8 @@ def _lambda(score: np.ndarray, share: np.ndarray, rest: float) -> float:
     return high
 
 
-def _with_tokens(sample: DataFrame) -> dict:
-    hashes, scores, share, rest = _token_scores(_counts(sample))
+def _with_tokens(counts: DataFrame, kind: str) -> dict:
+    hashes, scores, share, rest = _token_scores(counts, kind)
     return {"hashes": hashes, "scores": scores, "lambda": _lambda(scores, share, rest), "k": 1.0}
 
 
@@ -165,8 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
     """The model.  Learns from at most ``rows`` labelled rows of each class; what reaches the driver
     is bounded by ``rows`` and VOCABULARY."""
     sample = labelled.sample(docs, labels, label, rows)
-    early, late = sample.where("not calibrates"), sample.where("calibrates")
-    model = _with_tokens(early)
+    counts, late = _counts(sample), sample.where("calibrates")
+    model = _with_tokens(counts, "_early")
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
         p = min(max(float(y.mean()) if len(y) else 0.5, 0.01), 0.99)
         weights = np.array([np.log(p / (1 - p)), 0.0, 0.0])
     k = model["k"]
-    return _with_tokens(sample) | {"k": k, "weights": weights}  # tokens of all rows, calibration of rows not learned from
+    return _with_tokens(counts, "") | {"k": k, "weights": weights}  # tokens of all rows, calibration of rows not learned from
 
 
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
