@@ -12,9 +12,10 @@ and Xiao et al., "Efficient Similarity Joins for Near Duplicate Detection", 2008
    n - ceil(t n) + 1 shingles.  Shingles in one prefix only go before any row is shuffled.
 4. Star round: in each bucket of a prefix shingle every member is paired with one leader only, so a
    bucket of m copies makes m - 1 candidates, not m * m.
-5. Residual round: only buckets that still hold several components, and there only pairs across
-   components that don't lie both in the bucket's largest one.  No link that joins two components
-   is lost, so the components are exactly those of all links.
+5. Residual rounds: only buckets that still hold several components, and there only pairs across
+   components that don't lie both in the bucket's largest one; first one pair for each two
+   components, then all that still lie across.  No link that joins two components is lost, so the
+   components are exactly those of all links.
 6. Every candidate passes the filters and is verified once on the whole sets.  The suffix filter
    bounds the overlap by parts: both sets are cut into BUCKETS ranges of hashes, and what two parts
    share is at most the smaller one.
@@ -198,16 +199,18 @@ def _verify(docs: DataFrame, pairs: DataFrame, profiles: DataFrame, k: int, perc
 
 
 def _residual(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidates across components, from buckets that hold more than one component."""
+    """Candidates (a, b) across components and their components (c, d), from buckets that hold more
+    than one component; ``apart`` is how much their lengths and places differ, at least."""
     tagged = entries.join(labels.toDF("doc_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     mixed = tagged.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("c"))
     mixed = mixed.where("c > 1").select("h", F.col("top.comp").alias("major"))
     tagged = materialise(tagged.join(mixed, "h"), "mixed")
-    minor = tagged.where("comp <> major").select("h", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("a_comp"))
-    every = tagged.select("h", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("comp").alias("b_comp"), "major")
-    across = minor.join(every, "h").where("a_comp <> b_comp and (b_comp = major or a < b)")
+    minor = tagged.where("comp <> major").select("h", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("c"))
+    every = tagged.select("h", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("comp").alias("d"), "major")
+    across = minor.join(every, "h").where("c <> d and (d = major or a < b)")
     across = across.where(_length_filter("a_n", "b_n", percent) & _positional_filter(percent))
-    return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    apart = F.abs(F.col("a_n") - F.col("b_n")) + F.abs(F.col("a_pos") - F.col("b_pos"))
+    return across.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).agg(F.min(apart).alias("apart"))
 
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -241,8 +244,15 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     star = materialise(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
     links = materialise(_verify(docs, star, reps, k, percent), "links")
     labels = materialise(components(links), "labels")
-    rest = _residual(shared.drop("lead"), labels, percent).join(star, ["a", "b"], "left_anti")
-    more = _verify(docs, materialise(rest, "rest"), reps, k, percent)
+    # one candidate of each two components first: a link spares the others between them
+    rest = materialise(_residual(shared.drop("lead"), labels, percent).join(star, ["a", "b"], "left_anti"), "rest")
+    likely = materialise(rest.groupBy("c", "d").agg(F.min(F.struct("apart", "a", "b")).alias("x")).select("x.a", "x.b"), "likely")
+    links = materialise(links.unionByName(_verify(docs, likely, reps, k, percent)), "links")
+    labels = materialise(components(links), "labels")
+    side = labels.select(F.col("node"), F.col("component"))
+    open_pairs = rest.join(likely, ["a", "b"], "left_anti").join(side.toDF("a", "ca"), "a", "left").join(side.toDF("b", "cb"), "b", "left")
+    open_pairs = open_pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    more = _verify(docs, materialise(open_pairs, "open"), reps, k, percent)
     # rows of one id that differ in text are one node: their representatives link
     same_id = of_rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     twins = same_id.join(reps.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi")
