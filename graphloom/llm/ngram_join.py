@@ -12,10 +12,9 @@ and Xiao et al., "Efficient Similarity Joins for Near Duplicate Detection", 2008
    n - ceil(t n) + 1 shingles.  Shingles in one prefix only go before any row is shuffled.
 4. Star round: in each bucket of a prefix shingle every member is paired with one leader only, so a
    bucket of m copies makes m - 1 candidates, not m * m.
-5. Residual rounds: only buckets that still hold several components, and there only pairs across
-   components that don't lie both in the bucket's largest one; first one pair for each two
-   components, then all that still lie across.  No link that joins two components is lost, so the
-   components are exactly those of all links.
+5. Residual round: only buckets that still hold several components, and there only pairs across
+   components that don't lie both in the bucket's largest one.  No link that joins two components
+   is lost, so the components are exactly those of all links.
 6. Every candidate passes the filters and is verified once on the whole sets.  The suffix filter
    bounds the overlap by parts: both sets are cut into BUCKETS ranges of hashes, and what two parts
    share is at most the smaller one.
@@ -119,9 +118,10 @@ def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.n
 def _shared_hashes(reps: DataFrame) -> DataFrame:
     """(h): shingles in the prefixes of two documents or more.
 
-    A task sends its hashes as sorted arrays, one for each range of hashes, in which a hash stands
+    A task sends its hashes as arrays, one for each range of rehashed values, in which a hash stands
     once or twice however often the task met it; a range gathers those of all tasks.  The number of
-    ranges follows the data, so a range stays near RANGE_ROWS hashes of 8 bytes.
+    ranges follows the data, so a range stays near RANGE_ROWS hashes of 8 bytes.  (Prefixes hold the
+    small hashes of their sets, so ranges of the hashes themselves would be uneven.)
     """
     total = reps.agg(F.sum(F.size("prefix"))).first()[0] or 0
     ranges = max(16, -(-total // RANGE_ROWS))
@@ -132,7 +132,10 @@ def _shared_hashes(reps: DataFrame) -> DataFrame:
             h = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             h, n = np.unique(h, return_counts=True)
             h = np.repeat(h, np.minimum(n, 2))
-            r, first = np.unique((h // width).astype(np.int32), return_index=True)
+            r = (tn.mix(h ^ np.uint64(0x6A09E667F3BCC908)) // width).astype(np.int32)
+            order = np.argsort(r, kind="stable")
+            h, r = h[order], r[order]
+            r, first = np.unique(r, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(r), pa.array([x.tobytes() for x in np.split(h, first[1:])] if len(h) else [], pa.binary())], ["r", "hashes"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +182,12 @@ def _length_filter(x: str, y: str, percent: int) -> F.Column:
 
 
 def _positional_filter(percent: int) -> F.Column:
-    """A shared shingle at places i and j: those before it match before it only, those after it after it."""
-    overlap = F.expr("least(a_pos, b_pos) + 1 + least(a_n - a_pos - 1, b_n - b_pos - 1)")
+    """A shared shingle at places i and j, the first that the two share: all others come after it.
+
+    Of a pair's shared shingles the first one's bucket bounds it rightly, and later ones only more
+    tightly than they may; so a pair is lost only in buckets other than that of its first.
+    """
+    overlap = F.expr("1 + least(a_n - a_pos - 1, b_n - b_pos - 1)")
     return overlap * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
 
 
@@ -199,8 +206,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, profiles: DataFrame, k: int, perc
 
 
 def _residual(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) across components and their components (c, d), from buckets that hold more
-    than one component; ``apart`` is how much their lengths and places differ, at least."""
+    """Candidates across components, from buckets that hold more than one component."""
     tagged = entries.join(labels.toDF("doc_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     mixed = tagged.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("c"))
     mixed = mixed.where("c > 1").select("h", F.col("top.comp").alias("major"))
@@ -209,8 +215,7 @@ def _residual(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     every = tagged.select("h", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("comp").alias("d"), "major")
     across = minor.join(every, "h").where("c <> d and (d = major or a < b)")
     across = across.where(_length_filter("a_n", "b_n", percent) & _positional_filter(percent))
-    apart = F.abs(F.col("a_n") - F.col("b_n")) + F.abs(F.col("a_pos") - F.col("b_pos"))
-    return across.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).agg(F.min(apart).alias("apart"))
+    return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -244,15 +249,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     star = materialise(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
     links = materialise(_verify(docs, star, reps, k, percent), "links")
     labels = materialise(components(links), "labels")
-    # one candidate of each two components first: a link spares the others between them
-    rest = materialise(_residual(shared.drop("lead"), labels, percent).join(star, ["a", "b"], "left_anti"), "rest")
-    likely = materialise(rest.groupBy("c", "d").agg(F.min(F.struct("apart", "a", "b")).alias("x")).select("x.a", "x.b"), "likely")
-    links = materialise(links.unionByName(_verify(docs, likely, reps, k, percent)), "links")
-    labels = materialise(components(links), "labels")
-    side = labels.select(F.col("node"), F.col("component"))
-    open_pairs = rest.join(likely, ["a", "b"], "left_anti").join(side.toDF("a", "ca"), "a", "left").join(side.toDF("b", "cb"), "b", "left")
-    open_pairs = open_pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = _verify(docs, materialise(open_pairs, "open"), reps, k, percent)
+    rest = _residual(shared.drop("lead"), labels, percent).join(star, ["a", "b"], "left_anti")
+    more = _verify(docs, materialise(rest, "rest"), reps, k, percent)
     # rows of one id that differ in text are one node: their representatives link
     same_id = of_rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     twins = same_id.join(reps.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi")
