@@ -1,15 +1,280 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine, each over its whole corpus, and the SQL of the same results."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import labels as lb
+from graphloom.functions import strings as st
+from graphloom.operators import evaluate as ev
+from graphloom.operators import explain as ex
+from graphloom.operators import features as ft
+from graphloom.operators import learn as le
+from graphloom.operators import score as sc
+from graphloom.operators import search as se
+from graphloom.plans import catalog_sql, service
+from graphloom.schema import Model
+from graphloom.sources import corpora as co
+from graphloom.sources import json_graphs as jg
+
+RULES = [lb.Rule(True, ".+"), lb.Rule(False, "Brand#1.*"), lb.Rule(True, "Brand#13"), lb.Rule(False, "R"), lb.Rule(False, r"[0-9]-.*")]
+
+
+def _orders(spark: SparkSession, sf_dir: str):
+    g = co.orders_graph(spark, sf_dir)
+    return g, ft.instances(g)
+
+
+def _whole(model: Model) -> Model:
+    """Counts as whole numbers, which both engines print alike."""
+    return Model(model.pairs.withColumn("weight", F.col("weight").cast("long")), model.factors.withColumn("weight", F.col("weight").cast("long")), model.label_freq)
+
+
+def pair_feature_counts(spark, d):
+    return ft.pair_counts(_orders(spark, d)[1])
+
+
+def factor_feature_counts(spark, d):
+    return ft.factor_counts(ft.factor_instances(co.orders_graph(spark, d))).select(F.array_join("labels", "|").alias("labels"), "n")
+
+
+def label_frequency(spark, d):
+    return ft.label_frequency(co.orders_graph(spark, d).nodes)
+
+
+def rare_label_collapse(spark, d):
+    g, found = _orders(spark, d)
+    freq = ft.label_frequency(g.nodes)
+    least = int(freq.agg(F.percentile("n_queries", 0.5)).first()[0] or 0)
+    return ft.collapse_rare(ft.pair_counts(found), freq, least, "<unknown>", "n")
+
+
+def unknown_labels(spark, d):
+    """Nodes of odd orders under the label dictionary of even ones."""
+    g = co.parts_graph(spark, d)
+    freq = ft.label_frequency(g.nodes.where("query_id % 4 = 0"))
+    return ft.replace_unknown(g.nodes.where("not given and query_id % 2 = 1"), freq.where("n_queries > 1"), "<unknown>").groupBy("label").agg(F.count("*").alias("n"))
+
+
+def valid_labels(spark, d):
+    return lb.valid_labels(ft.label_frequency(co.orders_graph(spark, d).nodes), RULES)
+
+
+def dictionary(spark, d):
+    g = co.orders_graph(spark, d)
+    return lb.dictionary(g.nodes.select("label"), g.arcs.select(F.col("rel").alias("label")))
+
+
+def _ranked(rank, beam):
+    return lambda spark, d: rank(ft.pair_counts(_orders(spark, d)[1]), beam, "n").withColumn("rn", F.col("rn").cast("long"))
+
+
+def factor_candidates(spark, d):
+    groups = ft.factor_instances(co.orders_graph(spark, d))
+    found = ft.factor_candidates(groups, ft.factor_counts(groups), 3, "n")
+    return found.select("query_id", "factor_id", F.array_join("labels", "|").alias("labels"), "n", F.col("rn").cast("long").alias("rn"))
+
+
+def total_score(spark, d):
+    _, found = _orders(spark, d)
+    return sc.total_scores(found, ft.pair_counts(found), "n")
+
+
+def node_score(spark, d):
+    g, found = _orders(spark, d)
+    model = _whole(ft.count_model(g))
+    return sc.node_scores(g.nodes, sc.adjacency(found), ft.factor_instances(g), model)
+
+
+def pair_score(spark, d):
+    _, found = _orders(spark, d)
+    return sc.pair_scores(found, ft.pair_counts(found), "n")
+
+
+def nbest(spark, d):
+    g, found = _orders(spark, d)
+    best = sc.n_best(sc.adjacency(found), ft.factor_instances(g), _whole(ft.count_model(g)), 3)
+    return best.withColumn("rank", F.col("rank").cast("long"))
+
+
+def nbest_valid(spark, d):
+    g, found = _orders(spark, d)
+    valid = lb.valid_labels(ft.label_frequency(g.nodes), RULES).where("valid")
+    return sc.n_best(sc.adjacency(found), ft.factor_instances(g), _whole(ft.count_model(g)), 1, valid).select("query_id", "node", "cand", "score")
+
+
+def node_degree(spark, d):
+    g = co.session_graph(spark, d)
+    return sc.degrees(sc.adjacency(ft.instances(g)))
+
+
+def arc_pass_eligible(spark, d):
+    found = ft.instances(co.session_graph(spark, d))
+    return sc.arc_pass_eligible(found, sc.degrees(sc.adjacency(found)))
+
+
+def histogram_degree(spark, d):
+    return ev.histogram(node_degree(spark, d), "degree", 32)
+
+
+def scope_conflicts(spark, d):
+    g = co.parts_graph(spark, d)
+    return sc.scope_conflicts(g.nodes, g.scopes)
+
+
+def unique_conflict_node(spark, d):
+    return sc.unique_conflicts(scope_conflicts(spark, d))
+
+
+def confusion_stats(spark, d):
+    g = co.dialog_graph(spark, d)
+    return ev.confusion(g, ft.instances(g))
+
+
+def showgraph_nodes(spark, d):
+    g = co.dialog_graph(spark, d)
+    return ex.graph_nodes(g.nodes, sc.degrees(sc.adjacency(ft.instances(g))))
+
+
+def showgraph_edges(spark, d):
+    found = ft.instances(co.dialog_graph(spark, d))
+    return ex.graph_edges(found, sc.pair_scores(found, ft.pair_counts(found), "n"))
+
+
+def model_top_labels(spark, d):
+    g, found = _orders(spark, d)
+    top = ft.top_of_model(ft.pair_counts(found), ft.label_frequency(g.nodes), weight="n")
+    return top.select("label", "rel", "partner", "n", "total", F.col("rel_rank").cast("long").alias("rel_rank"), F.col("partner_rank").cast("long").alias("partner_rank"))
+
+
+def kfold_assignment(spark, d):
+    return ev.folds(co.orders_graph(spark, d), 5).withColumn("fold", F.col("fold").cast("long"))
+
+
+def _pl(spark, d):
+    g, found = _orders(spark, d)
+    return g, found, le.initial_weights(ft.count_model(g, use_factors=False))
+
+
+def pl_partition_function(spark, d):
+    g, found, model = _pl(spark, d)
+    p = le.pl_probabilities(g.nodes, sc.adjacency(found), ft.factor_instances(g), model, 16)
+    return p.groupBy("query_id", "node").agg(F.sum("times").alias("n"), F.round(F.max("p"), 6).alias("top_p"))
+
+
+def pl_gradient_pass1(spark, d):
+    g, _, model = _pl(spark, d)
+    return le.pl_gradient(g, model, 0.1)[0].select("label_a", "label_b", "rel", F.round("g", 4).alias("g"))
+
+
+def pl_weights_after_pass1(spark, d):
+    g, _, model = _pl(spark, d)
+    # a rate as small as the corpus is large leaves most weights between their bounds
+    rate = 0.01 / max(1, g.nodes.select("query_id").distinct().count())
+    return le.pl_pass(g, model, rate).pairs.select("label_a", "label_b", "rel", F.round("weight", 6).alias("weight"))
+
+
+def one_sweep_argmax(spark, d):
+    g, found = _orders(spark, d)
+    return sc.sweep(g.nodes, sc.adjacency(found), ft.factor_instances(g), _whole(ft.count_model(g)))
+
+
+def _predicted(spark, d):
+    g, found = _orders(spark, d)
+    swept = sc.sweep(g.nodes, sc.adjacency(found), ft.factor_instances(g), _whole(ft.count_model(g)))
+    return ev.compared(swept, g.nodes)
+
+
+def precision_stats(spark, d):
+    return ev.precision(_predicted(spark, d)).withColumns({c: F.round(c, 6) for c in ("error_rate", "recall")})
+
+
+def label_error_report(spark, d):
+    return ev.error_report(ev.label_errors(_predicted(spark, d)))
+
+
+def map_inference(spark, d):
+    g = co.orders_graph(spark, d)
+    return se.infer(g.with_nodes(se.cleared(g.nodes)), ft.count_model(g))
+
+
+def map_inference_scopes(spark, d):
+    g = co.parts_graph(spark, d)
+    return se.infer(g.with_nodes(se.cleared(g.nodes)), ft.count_model(g))
+
+
+def eval_error_stats(spark, d):
+    g = co.dialog_graph(spark, d)
+    solved = se.infer(g.with_nodes(se.cleared(g.nodes)), ft.count_model(g))
+    return ev.label_errors(ev.compared(solved, g.nodes))
+
+
+def ssvm_pass(spark, d):
+    g = co.dialog_graph(spark, d)
+    return le.ssvm_step(g, le.initial_weights(ft.count_model(g)), 0.1)[0].pairs
+
+
+def bp_inference(spark, d):
+    g = co.dialog_graph(spark, d)
+    return se.belief_propagation(g, ft.count_model(g))
+
+
+def json_round_trip(spark, d):
+    """The dialog corpus written as JSON lines, parsed and normalised again."""
+    g = co.dialog_graph(spark, d)
+    queries, _ = jg.parse(jg.lines(g), "value", "query_id")
+    return ft.pair_counts(ft.instances(jg.tables(queries)))
+
+
+def string_functions(spark, d):
+    text = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.lit(" \t"), F.col("p_name"), F.lit(" | a,b;c\\d \n")).alias("s"), (F.col("p_size") * 17).cast("string").alias("size"))
+    first = st.split_first(F.col("s"), ",;|")
+    return text.select(
+        "p_partkey",
+        st.trim_white(F.col("s")).alias("trimmed"),
+        st.shorten(st.trim_white(F.col("s")), 12).alias("short"),
+        st.escape(F.col("s")).alias("escaped"),
+        (st.unescape(st.escape(F.col("s"))) == F.col("s")).alias("same"),
+        F.size(st.split(F.col("s"), " ")).cast("long").alias("parts"),
+        first["before"].alias("before"),
+        first["separator"].alias("sep"),
+        st.parse_int(F.concat(F.lit("0x"), F.col("size"))).cast("long").alias("hex"),
+        st.parse_int(F.col("size")).cast("long").alias("dec"),
+        st.join(F.array("size", "p_partkey"), "-").alias("joined"),
+    )
+
+
+def rpc_dispatch(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    method = F.element_at(F.array(*[F.lit(m) for m in ("infer", "nbest", "showgraph", "drop")]), (F.col("event_id") % 4 + 1).cast("int"))
+    graph = F.lit('{"query":[{"a":0,"b":1,"f2":"r"}],"assign":[{"v":0,"inf":"x"},{"v":1,"giv":"y"}]')
+    params = F.concat(graph, F.when(F.col("event_id") % 5 != 0, F.lit(',"n":3')).otherwise(""), F.lit("}"))
+    body = F.when(F.col("event_id") % 7 == 0, F.lit("{broken")).otherwise(F.concat(F.lit('{"jsonrpc":"2.0","method":"'), method, F.lit('","params":'), params, F.lit(',"id":"'), F.col("event_id").cast("string"), F.lit('"}')))
+    seen = service.envelopes(e.select(F.col("event_id").alias("request_id"), body.alias("body")))
+    return seen.select("request_id", "id", "method", F.coalesce("code", F.lit(0)).cast("long").alias("code"))
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "candidates_by_b": _ranked(ft.candidates_by_b, 4),
+    "candidates_by_a": _ranked(ft.candidates_by_a, 4),
+    "candidates_by_rel": _ranked(ft.candidates_by_rel, 8),
+} | {
+    f.__name__: f
+    for f in (
+        pair_feature_counts, factor_feature_counts, label_frequency, rare_label_collapse, unknown_labels, valid_labels, dictionary, factor_candidates, total_score, node_score, pair_score, nbest, nbest_valid,
+        node_degree, arc_pass_eligible, histogram_degree, scope_conflicts, unique_conflict_node, confusion_stats, showgraph_nodes, showgraph_edges, model_top_labels, kfold_assignment, pl_partition_function,
+        pl_gradient_pass1, pl_weights_after_pass1, one_sweep_argmax, precision_stats, label_error_report, map_inference, map_inference_scopes, eval_error_stats, ssvm_pass, bp_inference, json_round_trip,
+        string_functions, rpc_dispatch,
+    )
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog_sql.SQL)
