@@ -1,4 +1,7 @@
-"""Where operators keep the tables that cut their lineage.
+"""Where operators keep what they read again.
+
+Short-lived intermediate results are held on the executors' disks (:func:`hold`) and computed again
+where an executor is lost; tables at the seams of a job are written (:func:`materialise`).
 
 A written table survives a lost executor, unlike an executor-local checkpoint.  The folder is the
 one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, notebooks on one
@@ -10,6 +13,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,6 +41,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep ``df`` on the executors' disks once it is computed, for steps that read it several times.
+    What a lost executor held is computed again from what ``df`` came from."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def small_batches(spark: SparkSession, rows: int = 1_000) -> SparkSession:
     """Let Spark send at most ``rows`` rows to a Python worker at a time: texts are long, and two
     workers share an executor's memory with its heap."""
