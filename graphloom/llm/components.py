@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.store import hold, materialise
+from graphloom.llm.store import drop, materialise
 
-CUT = 5  #: rounds between two written tables
 FILES = 64  #: of the result, at most
 
 
@@ -37,18 +36,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """
     both = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     edges = both.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges, before = hold(edges), None
-    for number in range(1, rounds + 1):
-        last, edges = edges, _small_star(_large_star(edges))
-        # every few rounds a written table ends the plan, so it doesn't grow with the rounds
-        edges = materialise(edges, "stars") if number % CUT == 0 else hold(edges)
+    edges, before = materialise(edges.coalesce(FILES), "stars"), None
+    for _ in range(rounds):
+        # a written table ends the plan, so it doesn't grow with the rounds
+        last, edges = edges, materialise(_small_star(_large_star(edges)).coalesce(FILES), "stars")
         sums = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(u as decimal(38)) - v)")).first()
-        last.unpersist()
+        drop(last)
         if tuple(sums) == before:
             nodes = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             labels = materialise(nodes.unionByName(roots).coalesce(FILES), "labels")
-            edges.unpersist()
+            drop(edges)
             return labels
         before = tuple(sums)
     raise RuntimeError(f"no fixed point after {rounds} rounds")

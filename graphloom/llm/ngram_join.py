@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textnum as tn
 from graphloom.llm.components import components
-from graphloom.llm.store import hold
+from graphloom.llm.store import drop, materialise
 
 ORDER_TOP = 100_000  #: shingles whose frequency the order knows (12 bytes each on every executor)
 LOCAL_TOP = 20_000  #: most frequent shingles that a task reports for each LOCAL_SPAN shingles it saw
@@ -196,13 +196,16 @@ def _verify(docs: DataFrame, pairs: DataFrame, profiles: DataFrame, k: int, perc
     brief = profiles.select("doc_id", "n", "parts")
     sides = pairs.join(brief.toDF("a", "a_n", "a_parts"), "a").join(brief.toDF("b", "b_n", "b_parts"), "b")
     shared = F.expr("aggregate(zip_with(a_parts, b_parts, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
-    pairs = hold(sides.where(shared * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).select("a", "b").distinct())
-    ids = hold(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    pairs = materialise(sides.where(shared * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).select("a", "b").distinct(), "pairs")
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
-    sets = hold(_sets(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), k))
+    sets = materialise(_sets(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), k), "sets")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     both = both.select("a", "b", F.size("sa").alias("x"), F.size("sb").alias("y"), F.size(F.array_intersect("sa", "sb")).alias("o"))
-    return both.where((100 * F.col("o")) >= percent * (F.col("x") + F.col("y") - F.col("o"))).select("a", "b").distinct()
+    links = materialise(both.where((100 * F.col("o")) >= percent * (F.col("x") + F.col("y") - F.col("o"))).select("a", "b").distinct(), "links")
+    for table in (pairs, ids, sets):
+        drop(table)
+    return links
 
 
 def _residual(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -210,12 +213,14 @@ def _residual(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     tagged = entries.join(labels.toDF("doc_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     mixed = tagged.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("c"))
     mixed = mixed.where("c > 1").select("h", F.col("top.comp").alias("major"))
-    tagged = hold(tagged.join(mixed, "h"))
+    tagged = materialise(tagged.join(mixed, "h"), "tagged")
     minor = tagged.where("comp <> major").select("h", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("c"))
     every = tagged.select("h", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("comp").alias("d"), "major")
     across = minor.join(every, "h").where("c <> d and (d = major or a < b)")
     across = across.where(_length_filter("a_n", "b_n", percent) & _positional_filter(percent))
-    return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = materialise(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    drop(tagged)
+    return across
 
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -232,25 +237,28 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     taken whole.  An empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profiles = hold(_profiles(docs, k, percent, _frequent(docs, k)))
+    profiles = materialise(_profiles(docs, k, percent, _frequent(docs, k)), "profiles")
     filled = profiles.where("n > 0 and doc_id is not null")
-    copies = hold(filled.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
+    copies = materialise(filled.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "copies")
     of_rep = filled.join(copies, ["n", "s1", "s2"])
-    reps = hold(of_rep.where("doc_id = rep").select("doc_id", "n", "prefix", "parts").dropDuplicates(["doc_id", "n"]))
+    reps = materialise(of_rep.where("doc_id = rep").select("doc_id", "n", "prefix", "parts").dropDuplicates(["doc_id", "n"]), "reps")
     entries = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h"))
-    hashes = hold(_shared_hashes(reps))
-    entries = hold(entries.join(hashes.hint("shuffle_hash"), "h", "left_semi"))
+    hashes = materialise(_shared_hashes(reps), "hashes")
+    entries = materialise(entries.join(hashes.hint("shuffle_hash"), "h", "left_semi"), "entries")
     leaders = entries.groupBy("h").agg(F.min(F.struct("n", "doc_id", "pos")).alias("lead"))
-    shared = hold(entries.join(leaders, "h"))
+    shared = materialise(entries.join(leaders, "h"), "shared")
     star = shared.where("doc_id <> lead.doc_id").select(
         F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("a_n"), F.col("lead.pos").alias("a_pos"), F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos")
     )
     star = star.where(_length_filter("a_n", "b_n", percent) & _positional_filter(percent))
-    star = hold(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = hold(_verify(docs, star, reps, k, percent))
+    star = materialise(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+    for table in (hashes, entries):
+        drop(table)
+    links = _verify(docs, star, reps, k, percent)
     labels = components(links)
     rest = _residual(shared.drop("lead"), labels, percent).join(star, ["a", "b"], "left_anti")
-    more = _verify(docs, hold(rest), reps, k, percent)
+    more = _verify(docs, rest, reps, k, percent)
+    drop(shared)
     # rows of one id that differ in text are one node: their representatives link
     same_id = of_rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     twins = same_id.join(reps.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi")

@@ -1,7 +1,8 @@
 """Where operators keep what they read again.
 
-Short-lived intermediate results are held on the executors' disks (:func:`hold`) and computed again
-where an executor is lost; tables at the seams of a job are written (:func:`materialise`).
+Results that several steps read are written as tables (:func:`materialise`), which also ends the
+plan: a plan that reads cached plans that read cached plans doubles with each of them when Spark
+describes it.  Tables that no later step needs are dropped (:func:`drop`).
 
 A written table survives a lost executor, unlike an executor-local checkpoint.  The folder is the
 one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, notebooks on one
@@ -13,7 +14,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,10 +41,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hold(df: DataFrame) -> DataFrame:
-    """Keep ``df`` on the executors' disks once it is computed, for steps that read it several times.
-    What a lost executor held is computed again from what ``df`` came from."""
-    return df.persist(StorageLevel.DISK_ONLY)
+def drop(df: DataFrame | None) -> None:
+    """Delete a table that :func:`materialise` returned; nothing that reads it may run later."""
+    for name in {x.rpartition("/")[0] for x in df.inputFiles()} if df is not None else ():
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1_000) -> SparkSession:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textnum as tn
-from graphloom.llm.store import hold, materialise
+from graphloom.llm.store import drop, materialise
 
 GRAM = 32  #: bytes of an anchor
 HOT = 20_000  #: largest collection that one task takes
@@ -256,15 +256,17 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     (start, end) intervals found, which may overlap.  Texts that occur as a whole several times are
     looked at once; the caller knows that all of theirs repeats."""
     long = docs.where(F.col("n_bytes") >= length)
-    anchors = hold(_anchors(long, length))
+    anchors = materialise(_anchors(long, length), "anchors")
     seen = F.struct("t1", "t2", "pos")
     several = anchors.groupBy("h").agg(F.min(seen).alias("lo"), F.max(seen).alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    places = hold(anchors.join(several.select("h", (F.col("c") > hot).alias("hot")), "h").distinct())
+    places = materialise(anchors.join(several.select("h", (F.col("c") > hot).alias("hot")), "h").distinct(), "places")
     at = places.groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "h", "hot")).alias("at"))
     one = long.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id")).join(at, ["t1", "t2"])
-    at = hold(one)
+    at = materialise(one, "at")
+    for table in (anchors, places):
+        drop(table)
     texts = _only(long, at.select("t1", "t2")).join(at.withColumnRenamed("doc_id", "rep"), ["t1", "t2"]).where("doc_id <=> rep")
-    around = hold(_surroundings(texts, length))
+    around = materialise(_surroundings(texts, length), "around")
     found = _construct(around.where("h is not null and not hot").select("t1", "t2", "h", "pos", "left", "around"), length)
     prints = _fingerprints(around.where("hot"), length)
     own = F.struct("t1", "t2", "start")
@@ -272,7 +274,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     hot_found = prints.join(twice, ["w1", "w2"]).select("t1", "t2", "start", (F.col("start") + length).alias("end"))
     inner = around.where("start is not null").select("t1", "t2", "start", "end")
     spans = found.unionByName(hot_found).unionByName(inner)
-    return materialise(spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    spans = materialise(spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    for table in (at, around):
+        drop(table)
+    return spans
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -302,7 +307,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     known = counts.where("copies > 1").select("t1", "t2", F.lit(True).alias("again"))
     brief = rows.select("doc_id", "t1", "t2", "n_bytes", F.sha2(F.col("text").cast("binary"), 256).alias("sha")).join(known, ["t1", "t2"], "left")
     brief = brief.join(spans.select("t1", "t2", F.lit(True).alias("some")), ["t1", "t2"], "left")
-    brief = hold(brief)
+    brief = materialise(brief, "brief")
     whole = f"again is not null and n_bytes >= {int(length)}"
     zero = F.lit(0).cast("long")
     gone = brief.where(whole).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(EMPTY_SHA256).alias("kept_sha256"))
