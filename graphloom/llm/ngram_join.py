@@ -11,13 +11,16 @@ and Xiao et al., "Efficient Similarity Joins for Near Duplicate Detection", 2008
 3. A document is indexed under its prefix: two sets with J >= t share a shingle in their first
    n - ceil(t n) + 1 shingles.  Shingles in one prefix only go before any row is shuffled.
 4. Star round: in each bucket of a prefix shingle every member is paired with one leader only, so a
-   bucket of m copies makes m - 1 candidates, not m * m.
+   bucket of m copies makes m - 1 candidates, not m * m.  Rounds with other leaders follow in buckets
+   of CROWD members or more that still hold several components: in a large group of near copies, of
+   which not every two link, a few of them join what is linked without comparing all pairs.
 5. Residual round: only buckets that still hold several components, and there only pairs across
    components that don't lie both in the bucket's largest one.  No link that joins two components
    is lost, so the components are exactly those of all links.
 6. Every candidate passes the filters and is verified once on the whole sets.  The suffix filter
    bounds the overlap by parts: both sets are cut into BUCKETS ranges of hashes, and what two parts
-   share is at most the smaller one.
+   share is at most the smaller one.  Finer parts of a hash each, SIGNATURE of them, are kept as the
+   parity of their sizes: at least as many shingles are in one set only as parities differ.
 """
 
 from __future__ import annotations
@@ -36,8 +39,11 @@ from graphloom.llm.store import drop, materialise
 ORDER_TOP = 100_000  #: shingles whose frequency the order knows (12 bytes each on every executor)
 LOCAL_TOP = 20_000  #: most frequent shingles that a task reports for each LOCAL_SPAN shingles it saw
 LOCAL_SPAN = 2_000_000
-BUCKETS = 128  #: of the suffix filter
+BUCKETS = 64  #: of the suffix filter
+SIGNATURE = 1_024  #: parities of finer parts, as bits
 RANGE_ROWS = 1_000_000  #: prefix entries to a range of hashes, on average
+ROUNDS = 2  #: star rounds after the first; they only save comparisons, the residual round is whole without them
+CROWD = 8
 BROADCAST_IDS = 500_000  #: documents to verify, up to which their ids are broadcast (about 30 MB)
 
 
@@ -73,7 +79,7 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """One row a document: size and fingerprint of its set, its prefix, its suffix histogram."""
     known = docs.sparkSession.sparkContext.broadcast(top)
-    schema = "doc_id long, n long, s1 long, s2 long, prefix array<long>, parts array<int>"
+    schema = "doc_id long, n long, s1 long, s2 long, prefix array<long>, parts array<int>, bits array<long>"
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, times = known.value
@@ -96,7 +102,10 @@ def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.n
                     h = h[order]
                 keep = n - (percent * n + 99) // 100 + (n > 0)
                 early = np.arange(len(h)) - at[rows] < keep[rows]
-                cell = rows * BUCKETS + (h >> np.uint64(57)).astype(np.int64)
+                cell = rows * BUCKETS + (h >> np.uint64(58)).astype(np.int64)
+                cell_of_bit = rows * SIGNATURE + ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
+                odd = (np.bincount(cell_of_bit, minlength=count * SIGNATURE) & 1).astype(np.uint8)
+                bits = np.packbits(odd).view(np.int64)
                 histogram = np.bincount(cell, minlength=count * BUCKETS).astype(np.int32)
                 ends = np.zeros(count + 1, np.int32)
                 np.cumsum(keep, out=ends[1:])
@@ -108,8 +117,9 @@ def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.n
                         pa.array(prints[1]),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(h[early].view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * BUCKETS), pa.array(histogram)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * (SIGNATURE // 64)), pa.array(bits)),
                     ],
-                    ["doc_id", "n", "s1", "s2", "prefix", "parts"],
+                    ["doc_id", "n", "s1", "s2", "prefix", "parts", "bits"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(profile, schema)
@@ -191,13 +201,19 @@ def _positional_filter(percent: int) -> F.Column:
     return overlap * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
 
 
+def _signature_filter(percent: int) -> F.Column:
+    """At most n_a + n_b - 2 * o shingles are in one set only, where o is the least overlap of a link."""
+    differ = " + ".join(f"bit_count(a_bits[{i}] ^ b_bits[{i}])" for i in range(SIGNATURE // 64))
+    return F.expr(f"({differ}) * {100 + percent} <= (a_n + b_n) * {100 - percent}")
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, profiles: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that are links; each pair is compared once, on the whole sets."""
-    brief = profiles.select("doc_id", "n", "parts")
-    sides = pairs.join(brief.toDF("a", "a_n", "a_parts"), "a").join(brief.toDF("b", "b_n", "b_parts"), "b")
+    brief = profiles.select("doc_id", "n", "parts", "bits")
+    sides = pairs.join(brief.toDF("a", "a_n", "a_parts", "a_bits"), "a").join(brief.toDF("b", "b_n", "b_parts", "b_bits"), "b").where(_signature_filter(percent))
     shared = F.expr("aggregate(zip_with(a_parts, b_parts, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
     pairs = materialise(sides.where(shared * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).select("a", "b").distinct(), "pairs")
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    ids = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     sets = materialise(_sets(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), k), "sets")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
@@ -208,17 +224,36 @@ def _verify(docs: DataFrame, pairs: DataFrame, profiles: DataFrame, k: int, perc
     return links
 
 
-def _residual(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _tagged(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    return entries.join(labels.toDF("doc_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _other_star(entries: DataFrame, labels: DataFrame, salt: int, percent: int) -> DataFrame:
+    """Candidates of crowded buckets with several components: each member and the bucket's leader of
+    this round, if they are in different components."""
+    tagged = _tagged(entries, labels)
+    lead = F.min(F.struct(F.xxhash64(F.lit(salt), "doc_id").alias("by"), F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("c")))
+    leaders = tagged.groupBy("h").agg(lead.alias("lead"), F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    leaders = leaders.where((F.col("m") >= CROWD) & (F.col("lo") < F.col("hi"))).select("h", "lead.*")
+    pairs = tagged.select("h", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), "comp").join(leaders, "h")
+    return _ordered(pairs.where("comp <> c").where(_length_filter("a_n", "b_n", percent) & _positional_filter(percent)))
+
+
+def _residual(entries: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Candidates across components, from buckets that hold more than one component."""
-    tagged = entries.join(labels.toDF("doc_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    tagged = _tagged(entries, labels)
     mixed = tagged.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("c"))
     mixed = mixed.where("c > 1").select("h", F.col("top.comp").alias("major"))
-    tagged = materialise(tagged.join(mixed, "h"), "tagged")
-    minor = tagged.where("comp <> major").select("h", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("c"))
-    every = tagged.select("h", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("comp").alias("d"), "major")
+    tagged = materialise(tagged.join(mixed, "h").join(reps.select("doc_id", "bits"), "doc_id"), "tagged")
+    minor = tagged.where("comp <> major").select("h", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("c"), F.col("bits").alias("a_bits"))
+    every = tagged.select("h", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("comp").alias("d"), "major", F.col("bits").alias("b_bits"))
     across = minor.join(every, "h").where("c <> d and (d = major or a < b)")
-    across = across.where(_length_filter("a_n", "b_n", percent) & _positional_filter(percent))
-    across = materialise(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    across = across.where(_length_filter("a_n", "b_n", percent) & _positional_filter(percent) & _signature_filter(percent))
+    across = materialise(_ordered(across), "across")
     drop(tagged)
     return across
 
@@ -241,7 +276,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     filled = profiles.where("n > 0 and doc_id is not null")
     copies = materialise(filled.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "copies")
     of_rep = filled.join(copies, ["n", "s1", "s2"])
-    reps = materialise(of_rep.where("doc_id = rep").select("doc_id", "n", "prefix", "parts").dropDuplicates(["doc_id", "n"]), "reps")
+    reps = materialise(of_rep.where("doc_id = rep").select("doc_id", "n", "prefix", "parts", "bits").dropDuplicates(["doc_id", "n"]), "reps")
     entries = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h"))
     hashes = materialise(_shared_hashes(reps), "hashes")
     entries = materialise(entries.join(hashes.hint("shuffle_hash"), "h", "left_semi"), "entries")
@@ -251,12 +286,19 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("a_n"), F.col("lead.pos").alias("a_pos"), F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos")
     )
     star = star.where(_length_filter("a_n", "b_n", percent) & _positional_filter(percent))
-    star = materialise(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+    star = materialise(_ordered(star), "star")
     for table in (hashes, entries):
         drop(table)
-    links = _verify(docs, star, reps, k, percent)
-    labels = components(links)
-    rest = _residual(shared.drop("lead"), labels, percent).join(star, ["a", "b"], "left_anti")
+    tried, links = star, _verify(docs, star, reps, k, percent)
+    labels, shared = components(links), shared.drop("lead")
+    for salt in range(ROUNDS):
+        star = materialise(_other_star(shared, labels, salt, percent).join(tried, ["a", "b"], "left_anti"), "star")
+        if star.isEmpty():
+            break
+        found = _verify(docs, star, reps, k, percent)
+        tried, links = tried.unionByName(star), links.unionByName(found)
+        labels = components(links)
+    rest = _residual(shared, labels, reps, percent).join(tried, ["a", "b"], "left_anti")
     more = _verify(docs, rest, reps, k, percent)
     drop(shared)
     # rows of one id that differ in text are one node: their representatives link

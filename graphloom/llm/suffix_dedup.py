@@ -42,8 +42,8 @@ from graphloom.llm.store import drop, materialise
 
 GRAM = 32  #: bytes of an anchor
 HOT = 20_000  #: largest collection that one task takes
-BATCH = 30_000  #: documents of collections that are treated at a time, in whole collections
-PIECE = 1 << 22  #: windows of one text that are looked at together
+BATCH = 15_000  #: documents of collections that are treated at a time, in whole collections
+PIECE = 1 << 20  #: windows of one text that are looked at together
 BROADCAST_IDS = 500_000  #: texts up to which their keys are broadcast to keep other texts out of a shuffle
 SECOND = (tn.BASE * 0x2545F4914F6CDD1D + 0x1234567) % (1 << 64) | 3  #: base of the second fingerprint
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -161,9 +161,7 @@ def repeated_columns(group: np.ndarray, left: np.ndarray, around: list[bytes], l
             common = np.zeros(n + 1, np.int32)
             common[same] = least + 1
             if c <= before:
-                hit = np.maximum(common[:-1], common[1:]) >= length
-                if hit.any():
-                    yield c, order[hit]
+                yield c, order[np.maximum(common[:-1], common[1:]) >= length]
         del columns
 
 
@@ -177,22 +175,23 @@ def _construct(surroundings: DataFrame, length: int) -> DataFrame:
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         group = np.cumsum(new)
-        flags: list[np.ndarray] = []
-        cols: list[np.ndarray] = []
+        shift = pos - (length - GRAM)
+        end = np.zeros(len(h), np.int32)  # of a document's run of repeated windows that is open; 0: none
+        out: list[tuple[np.ndarray, ...]] = []
+
+        def close(who: np.ndarray, start: int) -> None:
+            if len(who):
+                out.append((t1[who], t2[who], (shift[who] + start).astype(np.int32), (shift[who] + end[who]).astype(np.int32)))
+                end[who] = 0
+
         for c, who in repeated_columns(group, left, rows["around"].to_pylist(), length):
-            flags.append(who)
-            cols.append(np.full(len(who), c, np.int32))
-        if not flags:
-            return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in form], schema=form)
-        who, col = np.concatenate(flags), np.concatenate(cols)
-        where = np.lexsort((col, who))
-        who, col = who[where], col[where]
-        first = np.ones(len(who), bool)
-        first[1:] = (who[1:] != who[:-1]) | (col[1:] != col[:-1] + 1)
-        last = np.append(first[1:], True)
-        w = who[first]
-        shift = pos[w] - (length - GRAM)
-        return pa.RecordBatch.from_arrays([pa.array(t1[w]), pa.array(t2[w]), pa.array((shift + col[first]).astype(np.int32)), pa.array((shift + col[last] + length).astype(np.int32))], schema=form)
+            hit = np.zeros(len(h), bool)
+            hit[who] = True
+            close(np.flatnonzero((end > 0) & ~hit), c + 1)
+            end[hit & (end == 0)] = c + length
+        close(np.flatnonzero(end), 0)
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, form, strict=True)], schema=form)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
