@@ -44,7 +44,7 @@ SIGNATURE = 1_024  #: parities of finer parts, as bits
 RANGE_ROWS = 1_000_000  #: prefix entries to a range of hashes, on average
 ROUNDS = 2  #: star rounds after the first; they only save comparisons, the residual round is whole without them
 CROWD = 8
-BROADCAST_IDS = 500_000  #: documents to verify, up to which their ids are broadcast (about 30 MB)
+BROADCAST_IDS = 500_000  #: documents up to which their ids, or ids and components, are broadcast (about 30 MB)
 
 
 def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +225,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, profiles: DataFrame, k: int, perc
 
 
 def _tagged(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    return entries.join(labels.toDF("doc_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    labels = labels.toDF("doc_id", "comp")
+    few = labels.count() <= BROADCAST_IDS
+    return entries.join(F.broadcast(labels) if few else labels, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -279,9 +281,10 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     reps = materialise(of_rep.where("doc_id = rep").select("doc_id", "n", "prefix", "parts", "bits").dropDuplicates(["doc_id", "n"]), "reps")
     entries = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h"))
     hashes = materialise(_shared_hashes(reps), "hashes")
-    entries = materialise(entries.join(hashes.hint("shuffle_hash"), "h", "left_semi"), "entries")
+    entries = entries.join(hashes.hint("shuffle_hash"), "h", "left_semi")
     leaders = entries.groupBy("h").agg(F.min(F.struct("n", "doc_id", "pos")).alias("lead"))
-    shared = materialise(entries.join(leaders, "h"), "shared")
+    shared = materialise(entries.join(leaders, "h"), "shared")  # one exchange by h serves both sides
+    drop(hashes)
     star = shared.where("doc_id <> lead.doc_id").select(
         F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("a_n"), F.col("lead.pos").alias("a_pos"), F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos")
     )
