@@ -290,8 +290,6 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     )
     star = star.where(_length_filter("a_n", "b_n", percent) & _positional_filter(percent))
     star = materialise(_ordered(star), "star")
-    for table in (hashes, entries):
-        drop(table)
     tried, links = star, _verify(docs, star, reps, k, percent)
     labels, shared = components(links), shared.drop("lead")
     for salt in range(ROUNDS):
