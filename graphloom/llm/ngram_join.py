@@ -42,7 +42,7 @@ LOCAL_SPAN = 2_000_000
 BUCKETS = 64  #: of the suffix filter
 SIGNATURE = 1_024  #: parities of finer parts, as bits
 RANGE_ROWS = 1_000_000  #: prefix entries to a range of hashes, on average
-ROUNDS = 2  #: star rounds after the first; they only save comparisons, the residual round is whole without them
+ROUNDS = 1  #: star rounds after the first; they only save comparisons, the residual round is whole without them
 CROWD = 8
 BROADCAST_IDS = 500_000  #: documents up to which their ids, or ids and components, are broadcast (about 30 MB)
 
@@ -213,13 +213,13 @@ def _verify(docs: DataFrame, pairs: DataFrame, profiles: DataFrame, k: int, perc
     sides = pairs.join(brief.toDF("a", "a_n", "a_parts", "a_bits"), "a").join(brief.toDF("b", "b_n", "b_parts", "b_bits"), "b").where(_signature_filter(percent))
     shared = F.expr("aggregate(zip_with(a_parts, b_parts, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
     pairs = materialise(sides.where(shared * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).select("a", "b").distinct(), "pairs")
-    ids = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    few = 2 * pairs.count() <= BROADCAST_IDS  # twice the pairs bounds the ids
     sets = materialise(_sets(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), k), "sets")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     both = both.select("a", "b", F.size("sa").alias("x"), F.size("sb").alias("y"), F.size(F.array_intersect("sa", "sb")).alias("o"))
     links = materialise(both.where((100 * F.col("o")) >= percent * (F.col("x") + F.col("y") - F.col("o"))).select("a", "b").distinct(), "links")
-    for table in (pairs, ids, sets):
+    for table in (pairs, sets):
         drop(table)
     return links
 
