@@ -2,11 +2,13 @@
 
 1. A scan tokenizes every document, adds the end token and cuts documents that are too long; what
    stays is a table of pieces (ids of a piece by their CRC).
-2. The histogram of piece lengths, at most ``size`` rows, goes to the driver.  There the
-   configuration LP (the fewest sequences, each filled by a multiset of lengths, that cover the
-   histogram) is solved by multiplicative weights; the pricing problem, a most valuable filling for
-   the present weights, is an unbounded knapsack solved by dynamic programming over the capacity.
-   Its rounding down is kept, what is left is packed best fit, largest first, on the histogram.
+2. The histogram of piece lengths, at most ``size`` rows, goes to the driver and is packed best fit,
+   largest first.  If the tokens' volume proves it within ``GAP`` or a sequence of the best, it stays.
+   Otherwise the configuration LP (the fewest sequences, each filled by a multiset of lengths, that
+   cover the histogram) is solved to a proven gap by column generation; the pricing problem, a most
+   valuable filling for the present dual values, is an unbounded knapsack solved by dynamic
+   programming over the capacity.  Its rounding down is kept, what is left goes to the LP again
+   until no configuration is whole, the rest is packed best fit; the better of the two plans counts.
    The work depends on ``size`` and not on the number of documents.
 3. Pieces get a number within their length: a running count over (length, bucket) groups, with
    enough buckets that no length gathers in one task.  Length and number then give the sequence and
@@ -27,8 +29,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.store import materialise
 
 END_ID = 2
-ROUNDS = 300  #: of multiplicative weights, for each call of the LP
-CALLS = 6  #: of the LP: the first on all lengths, each other one on what rounding left
+GAP = 1e-3  #: between a solution and the bound that the volume or the LP's prices prove, as a share
 BUCKET_ROWS = 200_000
 
 
@@ -67,8 +68,8 @@ def pieces(docs: DataFrame, ranks: str, size: int = 1024) -> DataFrame:
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_filling(value: np.ndarray, size: int) -> np.ndarray:
-    """Counts by length of a most valuable multiset of lengths of at most ``size`` in sum."""
+def prices(value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each capacity the value of a most valuable multiset of lengths, and the length that it adds (0: none)."""
     best = np.zeros(size + 1)
     took = np.zeros(size + 1, np.int64)
     for w in range(1, size + 1):
@@ -78,38 +79,75 @@ def best_filling(value: np.ndarray, size: int) -> np.ndarray:
             best[w], took[w] = gain[i], i + 1
         else:
             best[w] = best[w - 1]
-    counts, w = np.zeros(size + 1, np.int64), size
-    while w > 0:
-        if took[w]:
-            counts[took[w]] += 1
-            w -= took[w]
-        else:
-            w -= 1
+    return best, took
+
+
+def fillings(first: np.ndarray, took: np.ndarray, size: int) -> np.ndarray:
+    """Counts by length, a row for each of ``first``: that length and a most valuable rest."""
+    root = np.maximum.accumulate(np.where(took > 0, np.arange(size + 1), 0))
+    counts = np.zeros((len(first), size + 1), np.int64)
+    counts[np.arange(len(first)), first] = 1
+    room = root[size - first]
+    while len(on := np.flatnonzero(room)):
+        t = took[room[on]]
+        counts[on, t] += 1
+        room[on] = root[room[on] - t]
     return counts
 
 
-def configuration_lp(demand: np.ndarray, size: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """Near-optimal fractional solution: (configuration, how often), by multiplicative weights.
+def proven(sequences: int, low: float) -> bool:
+    """Whether a plan is within ``GAP``, or one sequence, of the least number that ``low`` allows."""
+    return sequences <= np.ceil(low - 1e-6) * (1 + GAP) + 1
+
+
+def configuration_lp(demand: np.ndarray, size: int, enough: int | None = None) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """An optimal fractional solution, (configuration, how often), and a lower bound of its sum.
 
-    Each round prices lengths by exponential weights on how little they are covered so far, takes the
-    best filling for these prices and uses it until it covers a small share of some length.
+    Columns are generated: the revised simplex method holds a basis of one column a length, its dual
+    values price the lengths, and for every length the best filling that holds it is a candidate.
+    It ends when the sum of the solution is within ``GAP`` of the bound that the prices prove, or when
+    the bound proves that a plan of ``enough`` sequences is as near (:func:`proven`).
     """
     present = np.flatnonzero(demand)
-    covered = np.zeros(size + 1)
-    share: dict[bytes, float] = {}
-    eps = 0.1
-    weight = np.zeros(size + 1)
-    for _ in range(rounds):
-        weight[present] = np.exp(-(covered[present] - covered[present].min()) / eps) / demand[present]
+    m = len(present)
+    d = demand[present] * (1 + 1e-6 * np.random.default_rng(0).random(m))  # no ties, so no pivot leaves the solution as it is
+    basis = [np.eye(1, size + 1, n, dtype=np.int64)[0] * (size // n) for n in present.tolist()]
+    cost, inverse = np.ones(m), np.diag(1.0 / (size // present))
+    x, low = inverse @ d, 0.0
+    while True:
+        y = cost @ inverse
         value = np.full(size + 1, -1.0)
-        value[present] = weight[present]
-        filling = best_filling(value, size)
-        used = np.flatnonzero(filling)
-        step = float((demand[used] / filling[used]).min()) * eps / 2
-        covered[used] += filling[used] * step / demand[used]
-        share[filling.tobytes()] = share.get(filling.tobytes(), 0.0) + step
-    most = covered[present].max()  # scaled so that no length is covered more than once
-    return [(np.frombuffer(k, np.int64), x / most) for k, x in share.items()]
+        value[present] = np.maximum(y, 0)
+        best, took = prices(value, size)
+        low = max(low, float(value[present] @ d) / best[size])
+        if cost @ x <= low * (1 + GAP) or (enough is not None and proven(enough, low)):
+            break
+        gain = best[size - present] + value[present]
+        good = np.flatnonzero(gain > 1 + 1e-9)
+        good = good[np.argsort(-gain[good], kind="stable")]
+        columns = [(c, c[present].astype(float), 1.0) for c in fillings(present[good], took, size)]
+        columns += [(np.zeros(size + 1, np.int64), -np.eye(1, m, i)[0], 0.0) for i in np.flatnonzero(y < -1e-9).tolist()]  # a surplus
+        moved = 0
+        for filling, column, price in columns:
+            if (cost @ inverse) @ column <= price + 1e-9:
+                continue
+            u = inverse @ column
+            up = np.flatnonzero(u > 1e-9)
+            if not len(up):
+                continue
+            out = up[np.argmin(x[up] / u[up])]
+            step = x[out] / u[out]
+            x -= step * u
+            x[out] = step
+            inverse[out] /= u[out]
+            u[out] = 0
+            inverse -= np.outer(u, inverse[out])
+            basis[out], cost[out] = filling.copy(), price  # a view would keep all the fillings of its round
+            moved += 1
+        if not moved:
+            break
+        np.maximum(x, 0, out=x)
+    return [(c, v) for c, v, p in zip(basis, x.tolist(), cost.tolist(), strict=True) if p and v > 0], low
 
 
 def best_fit(demand: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
@@ -161,16 +199,26 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[np.ndarray, int]]:
     if demand[size]:
         out.append((full, int(demand[size])))
         demand[size] = 0
-    for _ in range(CALLS):
-        if demand.sum() < 4 * size:
-            break
-        for filling, x in sorted(configuration_lp(demand, size), key=lambda p: (-p[1], p[0].tobytes())):
+    plain = best_fit(demand.copy(), size)
+    packed, left, enough = [], demand.copy(), sum(times for _, times in plain)
+    if proven(enough, float(demand @ np.arange(size + 1)) / size):
+        return out + plain
+    while left.any():
+        before = len(packed)
+        solution, low = configuration_lp(left, size, enough)
+        if enough is not None and proven(enough, low):
+            return out + plain
+        enough = None
+        for filling, x in sorted(solution, key=lambda p: (-p[1], p[0].tobytes())):
             used = np.flatnonzero(filling)
-            times = min(int(x), int((demand[used] // filling[used]).min()))
+            times = min(int(x + 1e-6), int((left[used] // filling[used]).min()))
             if times:
-                out.append((filling, times))
-                demand[used] -= filling[used] * times
-    return out + best_fit(demand, size)
+                packed.append((filling, times))
+                left[used] -= filling[used] * times
+        if len(packed) == before:
+            break
+    packed += best_fit(left, size)
+    return out + min(packed, plain, key=lambda p: sum(times for _, times in p))
 
 
 def _places(solution: list[tuple[np.ndarray, int]], size: int) -> dict[int, tuple[np.ndarray, ...]]:

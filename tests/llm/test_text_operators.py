@@ -191,6 +191,21 @@ def test_plan_covers_the_histogram(histogram):
     assert {i: int(n) for i, n in enumerate(held) if n} == histogram
 
 
+def test_plan_of_all_lengths_takes_no_more_than_the_volume():
+    histogram = dict.fromkeys(range(1, 1024), 90)
+    assert sum(times for _, times in packing.plan(histogram, 1024)) == -(-90 * sum(range(1, 1024)) // 1024)
+
+
+def test_plan_beats_best_fit_where_best_fit_is_not_optimal():
+    demand = np.zeros(1001, np.int64)
+    demand[[510, 270, 260, 230]] = 600, 600, 600, 1200
+    solution, low = packing.configuration_lp(demand, 1000)
+    assert abs(sum(x for _, x in solution) - 900) < 0.1 and 899.9 < low < 900.1
+    assert (sum(c * x for c, x in solution) >= demand - 1e-6).all()
+    assert sum(times for _, times in packing.best_fit(demand.copy(), 1000)) > 1000
+    assert sum(times for _, times in packing.plan({int(i): int(demand[i]) for i in np.flatnonzero(demand)}, 1000)) <= 902
+
+
 # --- classifiers
 
 
