@@ -3,7 +3,7 @@
 1. A scan tokenizes every document, adds the end token and cuts documents that are too long; what
    stays is a table of pieces (ids of a piece by their CRC).
 2. The histogram of piece lengths, at most ``size`` rows, goes to the driver and is packed best fit,
-   largest first.  If the tokens' volume proves it within ``GAP`` or a sequence of the best, it stays.
+   largest first.  If the tokens' volume proves it within ``NEAR`` and a sequence of the best, it stays.
    Otherwise the configuration LP (the fewest sequences, each filled by a multiset of lengths, that
    cover the histogram) is solved to a proven gap by column generation; the pricing problem, a most
    valuable filling for the present dual values, is an unbounded knapsack solved by dynamic
@@ -30,6 +30,7 @@ from graphloom.llm.store import materialise
 
 END_ID = 2
 GAP = 1e-3  #: between a solution and the bound that the volume or the LP's prices prove, as a share
+NEAR = 1e-2  #: of a best-fit plan to such a bound, as a share, so that the LP isn't asked
 BUCKET_ROWS = 200_000
 
 
@@ -96,8 +97,8 @@ def fillings(first: np.ndarray, took: np.ndarray, size: int) -> np.ndarray:
 
 
 def proven(sequences: int, low: float) -> bool:
-    """Whether a plan is within ``GAP``, or one sequence, of the least number that ``low`` allows."""
-    return sequences <= np.ceil(low - 1e-6) * (1 + GAP) + 1
+    """Whether a plan is within ``NEAR`` and one sequence of the least number that ``low`` allows."""
+    return sequences <= np.ceil(low - 1e-6) * (1 + NEAR) + 1
 
 
 def configuration_lp(demand: np.ndarray, size: int, enough: int | None = None) -> tuple[list[tuple[np.ndarray, float]], float]:
@@ -113,18 +114,20 @@ def configuration_lp(demand: np.ndarray, size: int, enough: int | None = None) -
     d = demand[present] * (1 + 1e-6 * np.random.default_rng(0).random(m))  # no ties, so no pivot leaves the solution as it is
     basis = [np.eye(1, size + 1, n, dtype=np.int64)[0] * (size // n) for n in present.tolist()]
     cost, inverse = np.ones(m), np.diag(1.0 / (size // present))
-    x, low = inverse @ d, 0.0
+    x, center = inverse @ d, present / size  # prices by volume prove the volume
+    low, near = float(center @ d), 0.8  # prices near the best so far keep the dual values from swinging
     while True:
         y = cost @ inverse
         value = np.full(size + 1, -1.0)
-        value[present] = np.maximum(y, 0)
+        value[present] = near * center + (1 - near) * np.maximum(y, 0)
         best, took = prices(value, size)
-        low = max(low, float(value[present] @ d) / best[size])
+        value[present] /= best[size]
+        if float(value[present] @ d) > low:
+            low, center = float(value[present] @ d), value[present]
         if cost @ x <= low * (1 + GAP) or (enough is not None and proven(enough, low)):
             break
-        gain = best[size - present] + value[present]
-        good = np.flatnonzero(gain > 1 + 1e-9)
-        good = good[np.argsort(-gain[good], kind="stable")]
+        gain = best[size - present] / best[size] + value[present]
+        good = np.argsort(-gain, kind="stable")
         columns = [(c, c[present].astype(float), 1.0) for c in fillings(present[good], took, size)]
         columns += [(np.zeros(size + 1, np.int64), -np.eye(1, m, i)[0], 0.0) for i in np.flatnonzero(y < -1e-9).tolist()]  # a surplus
         moved = 0
@@ -144,8 +147,9 @@ def configuration_lp(demand: np.ndarray, size: int, enough: int | None = None) -
             inverse -= np.outer(u, inverse[out])
             basis[out], cost[out] = filling.copy(), price  # a view would keep all the fillings of its round
             moved += 1
-        if not moved:
+        if not moved and not near:
             break
+        near = 0.8 if moved else 0.0
         np.maximum(x, 0, out=x)
     return [(c, v) for c, v, p in zip(basis, x.tolist(), cost.tolist(), strict=True) if p and v > 0], low
 
