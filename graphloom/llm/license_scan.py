@@ -5,7 +5,8 @@ source code files" (2010): a text is cut into sentences, each is normalised and
 number of the known licence sentence it equals (0: unknown), and the sequence of numbers is matched
 against rules in a fixed order.  A rule that matches takes its sentences out of the sequence, so a
 licence's full text is not reported again for a notice that is part of it.  Known sentences that no
-rule takes are counted as left over.
+rule takes are counted as left over.  Sentences that are wrapped over lines, as in comments, are put on one
+line first (the SQL reads single lines only).
 
 There is no shuffle and no Python: each document is one row from scan to result.
 """
@@ -59,6 +60,12 @@ GAP = 2  #: unknown sentences that may stand between two of a rule
 #: A text with a known sentence holds one of these words.
 HINT = "(?i)(licen|rights reserved|permission|copyright|redistrib|software)"
 
+#: The same for :func:`scan`, which also reads wrapped sentences: single words, at least one for each sentence.
+WORDS = "(?i)(licen|reserved|permission|copyright|redistrib|software|warranty)"
+#: Real headers that put known sentences into one: (normalised sentence, numbers of the known ones in it).
+JOINED = [("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", (3, 9))]
+END = "\u0001"  #: marks the place after . ! ? and white space, which a wrapped sentence doesn't go across
+
 
 def pattern(numbers: tuple[int, ...]) -> str:
     """The rule as a regular expression over a sequence like <0><6><7>."""
@@ -80,6 +87,19 @@ def sequence(text: Column) -> Column:
     return F.array_join(F.transform(said, lambda s: F.concat(F.lit("<"), F.array_position(known, s).cast("string"), F.lit(">"))), "")
 
 
+def unwrapped(text: Column) -> Column:
+    """The text with every known sentence that line breaks, comment marks or blank lines interrupt on
+    one line of its own.  Such a sentence begins a line or follows . ! ? and ends a line or with . ! ?;
+    everything else stays, so that one-line notices are read as they stand."""
+    text = F.regexp_replace(text, "(?im)^[ \\t]*(dnl|rem)(?=[ \\t])", "")
+    text = F.regexp_replace(text, "([.!?])\\s+", f"$1\n{END}")
+    for sentence, numbers in JOINED + [(s, (i,)) for i, s in enumerate(SENTENCES, 1)]:
+        spelled = f"[^A-Za-z0-9{END}]+".join(sentence.split(" "))
+        known = "\n".join(SENTENCES[n - 1] for n in numbers)
+        text = F.regexp_replace(text, f"(?i)(^|[\\r\\n{END}])[^A-Za-z0-9\\r\\n{END}]*+{spelled}(?=[^A-Za-z0-9\\r\\n]*+([\\r\\n]|$))", f"\n{known}")
+    return text
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, licenses (names of the rules that matched, in rule
     order, comma-joined), n_matches, n_known (known sentences), n_left (those no rule took).
@@ -89,7 +109,7 @@ def scan(docs: DataFrame) -> DataFrame:
     an empty one.
     """
     text = F.col("text").cast("string")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(HINT), sequence(text)).otherwise("").alias("s0"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(WORDS), sequence(unwrapped(text))).otherwise("").alias("s0"))
     found = found.withColumn("n_known", F.regexp_count("s0", F.lit("<[1-9]")).cast("long"))
     for i, (_, numbers) in enumerate(RULES):
         p = pattern(numbers)

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -317,6 +318,50 @@ def test_license_rules(docs_of):
 # --- odd and empty tables, for every operator
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+
+
+def test_wrapped_license_headers(docs_of):
+    wrapped = [(APACHE, "Apache-2.0-header", 5), (GPL, "GPL-3.0-or-later-header", 3), (BSD, "BSD-2-Clause-text", 3), ("All rights\nreserved.", "All-rights-reserved", 1)]
+    wrapped.append(("\n\n".join(textwrap.fill(license_scan.SENTENCES[i].capitalize() + ".", 70) for i in (5, 6, 7)), "MIT-text", 3))
+    texts = [(mark.join(["Some code", *t.split("\n"), "more code"]), name, n) for t, name, n in wrapped for mark in ("\n", "\r\n", "\n * ", "\n# ", "\n// ", "\ndnl ")]
+    got = {r.doc_id: r for r in license_scan.scan(docs_of(list(enumerate(t for t, _, _ in texts)))).collect()}
+    for i, (text, name, n) in enumerate(texts):
+        assert (got[i].licenses, got[i].n_matches, got[i].n_known, got[i].n_left) == (name, 1, n, int(name == "Apache-2.0-header")), text  # no rule takes its last sentence
+
+
+def test_every_known_sentence_passes_the_hint(docs_of):
+    got = license_scan.scan(docs_of(list(enumerate(license_scan.SENTENCES)))).collect()
+    assert [r.n_known for r in got] == [1] * len(license_scan.SENTENCES)
+
+
 def runs(spark, docs, labels, items, tmp):
     import public_tokenizers
 
