@@ -30,8 +30,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with the smallest doc_id stays.  Rows that repeat a doc_id collapse into one; rows without a
     doc_id can't be told apart and stay."""
     found = materialise(ngram_join.ngram_components(docs, k=5, percent=80), "groups")
-    heads = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    heads = materialise(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times")), "heads")
+    kept = docs.join(heads.select("doc_id"), "doc_id", "left_semi")
+    if not heads.where("times > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 

@@ -3,17 +3,19 @@
 Rare-first prefix filtering with length, positional and suffix filters (after Chaudhuri et al. 2006
 and Xiao et al., "Efficient Similarity Joins for Near Duplicate Detection", 2008):
 
-1. Documents with equal shingle sets collapse into one representative (the smallest doc_id).
+1. Documents with equal shingle sets are one node (a 64-bit key of the set).
 2. Shingles are ordered rare first: by how often they occur in the corpus, then by hash.  Counts of
    all documents are gathered a task at a time and summed; only the ``ORDER_TOP`` most frequent are
    told apart, the rest count as rare.  Any fixed order gives the same links, so this bound only
    affects speed.
-3. A document is indexed under its prefix: two sets with J >= t share a shingle in their first
+3. A node is indexed under its prefix: two sets with J >= t share a shingle in their first
    n - ceil(t n) + 1 shingles.  Shingles in one prefix only go before any row is shuffled.
-4. Star round: in each bucket of a prefix shingle every member is paired with one leader only, so a
-   bucket of m copies makes m - 1 candidates, not m * m.  Rounds with other leaders follow in buckets
-   of CROWD members or more that still hold several components: in a large group of near copies, of
-   which not every two link, a few of them join what is linked without comparing all pairs.
+4. Star rounds: in each bucket of a prefix shingle every member is paired with one leader only, so a
+   bucket of m copies makes m - 1 candidates, not m * m.  The leader is the member with the largest
+   share of its prefix in other prefixes: an edit puts shingles of its own in front of a copy's
+   prefix, so that is the text the others were copied from or one next to it, and it links with most
+   of them.  Later rounds give each bucket that still holds several components the leader of a component
+   drawn by a hash, so that buckets of one group draw different ones.
 5. Residual round: only buckets that still hold several components, and there only pairs across
    components that don't lie both in the bucket's largest one.  No link that joins two components
    is lost, so the components are exactly those of all links.
@@ -42,9 +44,26 @@ LOCAL_SPAN = 2_000_000
 BUCKETS = 64  #: of the suffix filter
 SIGNATURE = 1_024  #: parities of finer parts, as bits
 RANGE_ROWS = 1_000_000  #: prefix entries to a range of hashes, on average
-ROUNDS = 1  #: star rounds after the first; they only save comparisons, the residual round is whole without them
-CROWD = 8
-BROADCAST_IDS = 500_000  #: documents up to which their ids, or ids and components, are broadcast (about 30 MB)
+ROUNDS = 3  #: star rounds after the first, at most; they only save comparisons, the residual round is whole without them
+CROWD = 4  #: pairs of the residual round for each prefix entry, above which another star round comes first
+BROADCAST_IDS = 500_000  #: nodes up to which their keys, or keys and components, are broadcast (about 30 MB)
+
+
+def _at(rows: np.ndarray, count: int) -> np.ndarray:
+    """Where each row's shingles begin and the last one's end."""
+    at = np.zeros(count + 1, np.int64)
+    np.cumsum(np.bincount(rows, minlength=count), out=at[1:])
+    return at
+
+
+def _nodes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each set of shingles: of its size and of two sums over its hashes."""
+    sums = np.zeros(len(h) + 1, np.uint64)
+    key = np.diff(at).astype(np.uint64)
+    for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
+        np.cumsum(tn.mix(h ^ np.uint64(salt)), out=sums[1:])
+        key = tn.mix(key ^ (sums[at[1:]] - sums[at[:-1]]))
+    return key.view(np.int64)
 
 
 def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,9 +96,9 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One row a document: size and fingerprint of its set, its prefix, its suffix histogram."""
+    """One row a document: size and key of its set, its prefix, its suffix histogram."""
     known = docs.sparkSession.sparkContext.broadcast(top)
-    schema = "doc_id long, n long, s1 long, s2 long, prefix array<long>, parts array<int>, bits array<long>"
+    schema = "doc_id long, n long, node long, prefix array<long>, parts array<int>, bits array<long>"
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, times = known.value
@@ -87,14 +106,8 @@ def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.n
             for first, buf, offs in tn.slices(batch.column(1)):
                 rows, h = tn.shingle_sets(buf, offs, k)
                 count = len(offs) - 1
-                n = np.bincount(rows, minlength=count)
-                at = np.zeros(count + 1, np.int64)
-                np.cumsum(n, out=at[1:])
-                sums = np.zeros(len(h) + 1, np.uint64)
-                prints = []
-                for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
-                    np.cumsum(tn.mix(h ^ np.uint64(salt)), out=sums[1:])
-                    prints.append((sums[at[1:]] - sums[at[:-1]]).view(np.int64))
+                at = _at(rows, count)
+                n, nodes = np.diff(at), _nodes(h, at)
                 if len(frequent):
                     place = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
                     often = np.where(frequent[place] == h, times[place], 0)
@@ -113,13 +126,12 @@ def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.n
                     [
                         batch.column(0).slice(first, count).cast(pa.int64()),
                         pa.array(n),
-                        pa.array(prints[0]),
-                        pa.array(prints[1]),
+                        pa.array(nodes),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(h[early].view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * BUCKETS), pa.array(histogram)),
                         pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * (SIGNATURE // 64)), pa.array(bits)),
                     ],
-                    ["doc_id", "n", "s1", "s2", "prefix", "parts", "bits"],
+                    ["doc_id", "n", "node", "prefix", "parts", "bits"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(profile, schema)
@@ -171,20 +183,16 @@ def _shared_hashes(reps: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, whole set): for the documents that have a candidate."""
+    """(node, whole set) of every row of ``docs``."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, buf, offs in tn.slices(batch.column(1)):
+            for _, buf, offs in tn.slices(batch.column(0)):
                 rows, h = tn.shingle_sets(buf, offs, k)
-                ends = np.zeros(len(offs), np.int32)
-                np.cumsum(np.bincount(rows, minlength=len(offs) - 1), out=ends[1:])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(offs) - 1).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))],
-                    ["doc_id", "shingles"],
-                )
+                at = _at(rows, len(offs) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(h, at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["node", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(whole, "doc_id long, shingles array<long>")
+    return docs.select("text").mapInArrow(whole, "node long, shingles array<long>")
 
 
 def _length_filter(x: str, y: str, percent: int) -> F.Column:
@@ -207,59 +215,94 @@ def _signature_filter(percent: int) -> F.Column:
     return F.expr(f"({differ}) * {100 + percent} <= (a_n + b_n) * {100 - percent}")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, profiles: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are links; each pair is compared once, on the whole sets."""
-    brief = profiles.select("doc_id", "n", "parts", "bits")
-    sides = pairs.join(brief.toDF("a", "a_n", "a_parts", "a_bits"), "a").join(brief.toDF("b", "b_n", "b_parts", "b_bits"), "b").where(_signature_filter(percent))
-    shared = F.expr("aggregate(zip_with(a_parts, b_parts, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
-    pairs = materialise(sides.where(shared * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    few = 2 * pairs.count() <= BROADCAST_IDS  # twice the pairs bounds the ids
-    sets = materialise(_sets(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), k), "sets")
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    both = both.select("a", "b", F.size("sa").alias("x"), F.size("sb").alias("y"), F.size(F.array_intersect("sa", "sb")).alias("o"))
-    links = materialise(both.where((100 * F.col("o")) >= percent * (F.col("x") + F.col("y") - F.col("o"))).select("a", "b").distinct(), "links")
-    for table in (pairs, sets):
-        drop(table)
-    return links
-
-
-def _tagged(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    labels = labels.toDF("doc_id", "comp")
-    few = labels.count() <= BROADCAST_IDS
-    return entries.join(F.broadcast(labels) if few else labels, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+def _few(keys: DataFrame, bound: int) -> DataFrame:
+    """``keys`` for a join, to be broadcast where ``bound``, which its rows don't exceed, allows it."""
+    return F.broadcast(keys) if bound <= BROADCAST_IDS else keys
+
+
+class _Join:
+    """What the rounds share: the texts, one row for each node, and the prefix entries."""
+
+    def __init__(self, docs: DataFrame, k: int, percent: int):
+        self.docs, self.k, self.percent = docs, k, percent
+        profiles = materialise(_profiles(docs, k, percent, _frequent(docs, k)), "profiles")
+        self.rows = materialise(profiles.select("doc_id", "n", "node"), "rows")
+        self.owners = materialise(self.rows.where("n > 0 and doc_id is not null").groupBy("doc_id", "node").agg(F.count("*").alias("times")), "owners")
+        self.copies = materialise(self.owners.groupBy("node").agg(F.min(F.struct("doc_id", "times")).alias("x")).select("node", "x.*"), "copies")
+        of_id = self.owners.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1")
+        self.twins = materialise(self.owners.join(of_id, "doc_id").where("node <> a").select("a", F.col("node").alias("b")), "twins")
+        self.repeats = not (self.twins.isEmpty() and self.copies.where("times > 1").isEmpty())
+        reps = profiles.join(self.copies, ["node", "doc_id"], "left_semi").drop("doc_id")
+        self.reps = materialise(reps.dropDuplicates(["node"]) if self.repeats else reps, "reps")
+        drop(profiles)
+        hashes = materialise(_shared_hashes(self.reps), "hashes")
+        entries = self.reps.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h"))
+        self.entries = materialise(entries.join(hashes.hint("shuffle_hash"), "h", "left_semi"), "entries")
+        drop(hashes)
+        met = self.entries.groupBy("node").agg(F.count("*").alias("met"))
+        self.standing = materialise(met.join(self.reps.select("node", F.size("prefix").alias("p")), "node").select("node", F.expr("cast(1000 * met div p as int)").alias("standing")), "standing")
+        self.members = self.standing.count()
+
+    def tagged(self, labels: DataFrame | None) -> DataFrame:
+        """The entries with their node's standing and component (itself, where it has no links yet)."""
+        known = self.standing.withColumn("comp", F.col("node"))
+        if labels is not None:
+            known = self.standing.join(labels.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return self.entries.join(_few(known, self.members), "node")
+
+    def star(self, labels: DataFrame | None, salt: int) -> DataFrame:
+        """Candidates: each member of a bucket and the bucket's leader, if they are in different components."""
+        tagged = self.tagged(labels)
+        draw = [F.xxhash64(F.lit(salt), "h", "comp").alias("draw")] if salt else []
+        lead = F.min(F.struct(*draw, (-F.col("standing")).alias("by"), F.col("n").alias("a_n"), F.col("node").alias("a"), F.col("pos").alias("a_pos"), F.col("comp").alias("c"))).alias("lead")
+        leaders = tagged.groupBy("h").agg(lead, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h", "lead.*")
+        pairs = tagged.select("h", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), "comp").join(leaders, "h")
+        return _ordered(pairs.where("comp <> c").where(_length_filter("a_n", "b_n", self.percent) & _positional_filter(self.percent)))
+
+    def mixed(self, labels: DataFrame) -> DataFrame:
+        """(h, major, pairs): buckets with more than one component, the largest of them, and how many
+        pairs a comparison of the others' members with all makes."""
+        each = self.tagged(labels).groupBy("h", "comp").agg(F.count("*").alias("m"))
+        all_of = each.groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("c")).where("c > 1")
+        return materialise(all_of.select("h", F.col("top.comp").alias("major"), F.expr("(m - top.m) * m").alias("pairs")), "mixed")
+
+    def residual(self, labels: DataFrame, mixed: DataFrame) -> DataFrame:
+        """Candidates across components, from the buckets that ``mixed`` names."""
+        tagged = self.tagged(labels)
+        tagged = materialise(tagged.join(mixed.select("h", "major"), "h").join(self.reps.select("node", "bits"), "node"), "tagged")
+        minor = tagged.where("comp <> major").select("h", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("c"), F.col("bits").alias("a_bits"))
+        every = tagged.select("h", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("comp").alias("d"), "major", F.col("bits").alias("b_bits"))
+        across = minor.join(every, "h").where("c <> d and (d = major or a < b)")
+        across = across.where(_length_filter("a_n", "b_n", self.percent) & _positional_filter(self.percent) & _signature_filter(self.percent))
+        across = materialise(_ordered(across), "across")
+        drop(tagged)
+        return across
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) that are links; each pair is compared once, on the whole sets."""
+        brief = self.reps.select("node", "n", "parts", "bits")
+        sides = pairs.join(brief.toDF("a", "a_n", "a_parts", "a_bits"), "a").join(brief.toDF("b", "b_n", "b_parts", "b_bits"), "b").where(_signature_filter(self.percent))
+        shared = F.expr("aggregate(zip_with(a_parts, b_parts, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
+        pairs = materialise(sides.where(shared * (100 + self.percent) >= (F.col("a_n") + F.col("b_n")) * self.percent).select("a", "b").distinct(), "pairs")
+        bound = 2 * pairs.count()
+        nodes = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(self.copies, "node").select("node", "doc_id"), "nodes")
+        texts = self.docs.join(_few(nodes.select("doc_id").distinct(), bound), "doc_id", "left_semi")
+        sets = _sets(texts, self.k)
+        if self.repeats:  # an id may stand for other texts too, and a text for several rows
+            sets = sets.join(_few(nodes.select("node"), bound), "node", "left_semi").dropDuplicates(["node"])
+        sets = materialise(sets, "sets")
+        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        both = both.select("a", "b", F.size("sa").alias("x"), F.size("sb").alias("y"), F.size(F.array_intersect("sa", "sb")).alias("o"))
+        links = materialise(both.where((100 * F.col("o")) >= self.percent * (F.col("x") + F.col("y") - F.col("o"))).select("a", "b").distinct(), "links")
+        for table in (pairs, nodes, sets):
+            drop(table)
+        return links
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _other_star(entries: DataFrame, labels: DataFrame, salt: int, percent: int) -> DataFrame:
-    """Candidates of crowded buckets with several components: each member and the bucket's leader of
-    this round, if they are in different components."""
-    tagged = _tagged(entries, labels)
-    lead = F.min(F.struct(F.xxhash64(F.lit(salt), "doc_id").alias("by"), F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("c")))
-    leaders = tagged.groupBy("h").agg(lead.alias("lead"), F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    leaders = leaders.where((F.col("m") >= CROWD) & (F.col("lo") < F.col("hi"))).select("h", "lead.*")
-    pairs = tagged.select("h", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), "comp").join(leaders, "h")
-    return _ordered(pairs.where("comp <> c").where(_length_filter("a_n", "b_n", percent) & _positional_filter(percent)))
-
-
-def _residual(entries: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Candidates across components, from buckets that hold more than one component."""
-    tagged = _tagged(entries, labels)
-    mixed = tagged.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("c"))
-    mixed = mixed.where("c > 1").select("h", F.col("top.comp").alias("major"))
-    tagged = materialise(tagged.join(mixed, "h").join(reps.select("doc_id", "bits"), "doc_id"), "tagged")
-    minor = tagged.where("comp <> major").select("h", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("c"), F.col("bits").alias("a_bits"))
-    every = tagged.select("h", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("comp").alias("d"), "major", F.col("bits").alias("b_bits"))
-    across = minor.join(every, "h").where("c <> d and (d = major or a < b)")
-    across = across.where(_length_filter("a_n", "b_n", percent) & _positional_filter(percent) & _signature_filter(percent))
-    across = materialise(_ordered(across), "across")
-    drop(tagged)
-    return across
-
-
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -274,39 +317,30 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     taken whole.  An empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profiles = materialise(_profiles(docs, k, percent, _frequent(docs, k)), "profiles")
-    filled = profiles.where("n > 0 and doc_id is not null")
-    copies = materialise(filled.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "copies")
-    of_rep = filled.join(copies, ["n", "s1", "s2"])
-    reps = materialise(of_rep.where("doc_id = rep").select("doc_id", "n", "prefix", "parts", "bits").dropDuplicates(["doc_id", "n"]), "reps")
-    entries = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h"))
-    hashes = materialise(_shared_hashes(reps), "hashes")
-    entries = entries.join(hashes.hint("shuffle_hash"), "h", "left_semi")
-    leaders = entries.groupBy("h").agg(F.min(F.struct("n", "doc_id", "pos")).alias("lead"))
-    shared = materialise(entries.join(leaders, "h"), "shared")  # one exchange by h serves both sides
-    drop(hashes)
-    star = shared.where("doc_id <> lead.doc_id").select(
-        F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("a_n"), F.col("lead.pos").alias("a_pos"), F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos")
-    )
-    star = star.where(_length_filter("a_n", "b_n", percent) & _positional_filter(percent))
-    star = materialise(_ordered(star), "star")
-    tried, links = star, _verify(docs, star, reps, k, percent)
-    labels, shared = components(links), shared.drop("lead")
-    for salt in range(ROUNDS):
-        star = materialise(_other_star(shared, labels, salt, percent).join(tried, ["a", "b"], "left_anti"), "star")
-        if star.isEmpty():
-            break
-        found = _verify(docs, star, reps, k, percent)
-        tried, links = tried.unionByName(star), links.unionByName(found)
+    join = _Join(docs, k, percent)
+    links, labels = join.twins, None
+    star = tried = materialise(join.star(None, 0), "star")
+    entries = join.entries.count()
+    for salt in range(1, 2 + ROUNDS):
+        links = links.unionByName(join.verified(star))
+        drop(labels)
         labels = components(links)
-    rest = _residual(shared, labels, reps, percent).join(tried, ["a", "b"], "left_anti")
-    more = _verify(docs, rest, reps, k, percent)
-    drop(shared)
-    # rows of one id that differ in text are one node: their representatives link
-    same_id = of_rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    twins = same_id.join(reps.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi")
-    twins = twins.unionByName(same_id.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).where("b <> c").select(F.col("b").alias("a"), F.col("c").alias("b")))
-    labels = components(links.unionByName(more).unionByName(twins))
-    owner = copies.join(labels.toDF("rep", "component"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    joined = profiles.select("doc_id", "n", "s1", "s2").join(owner, ["n", "s1", "s2"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+        mixed = join.mixed(labels)
+        if salt > ROUNDS or (mixed.agg(F.sum("pairs")).first()[0] or 0) <= CROWD * entries:
+            break
+        star = materialise(join.star(labels, salt).join(tried, ["a", "b"], "left_anti"), "star")
+        tried = tried.unionByName(star)
+        drop(mixed)
+    rest = join.residual(labels, mixed)
+    links = links.unionByName(join.verified(rest.join(tried, ["a", "b"], "left_anti")))
+    for table in (rest, tried, labels, mixed):
+        drop(table)
+    labels = components(links)
+    for table in (join.entries, join.reps, join.standing, links):
+        drop(table)
+    owner = join.copies.select("node", "doc_id").join(labels.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = owner.groupBy("comp").agg(F.min("doc_id").alias("component"))
+    owner = owner.join(least, "comp").select("node", "component")
+    of_id = join.owners.join(owner, "node").groupBy("doc_id").agg(F.min("component").alias("component"))
+    found = join.rows.join(of_id, "doc_id", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

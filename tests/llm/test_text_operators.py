@@ -110,6 +110,29 @@ def test_ngram_components_equal_all_pairs(spark, docs_of, k, percent):
     assert got == {i: (len(shingles(t, k)), want[i]) for i, t in pairs}
 
 
+def test_ids_that_stand_for_several_texts_have_the_links_of_all(spark, docs_of):
+    text = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcd"}
+    near = {c: t.replace(f"{c}39", "changed") for c, t in text.items()}
+    pairs = [(1, text["a"]), (1, text["b"]), (1, text["c"]), (2, near["a"]), (3, near["b"]), (4, near["c"]), (4, text["d"]), (5, near["d"]), (5, near["d"]), (6, "one two"), (7, ""), (1, None), (8, "other words " * 20)]
+    got = ngram_join.ngram_components(docs_of(pairs)).collect()
+    assert len(got) == len(pairs)
+    want = naive_components(pairs, 5, 80)
+    assert {(r.doc_id, r.component_id) for r in got} == set(want.items()) and {r.component_id for r in got} == {1, 6, 7, 8}
+
+
+def test_group_whose_copies_link_only_through_their_source(spark, docs_of):
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(120)]
+    pairs = [(0, " ".join(base))]
+    for i in range(1, 150):
+        w = list(base)
+        for j in rng.choice(12, 2, replace=False):  # two words of the source are changed, so two copies share less than the limit
+            w[10 * int(j) + int(rng.integers(0, 4))] = f"e{i}x{j}"
+        pairs.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs_of(pairs), 5, 80).collect()}
+    assert got == naive_components(pairs, 5, 80)
+
+
 def test_components_of_a_path(spark):
     path = [(i + 1, i) for i in range(300)] + [(None, 3), (5, 5), (1001, 1000)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(path, "a long, b long")).collect()}
