@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.store import drop, materialise
 
-FILES = 64  #: of the result, at most
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,22 +29,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """(node, component): for every node in ``links``, the smallest node that it reaches.
 
     Nulls and links from a node to itself are ignored; repeated links and either direction count
-    once; an empty table gives an empty one.  Ends at the fixed point (a graph of n nodes needs
+    once; an empty table gives an empty one.  The result reads one written table.  Ends at the fixed point (a graph of n nodes needs
     about log(n) rounds); ``rounds`` only guards against an endless loop and raises.
     """
     both = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = both.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges, before = materialise(edges.coalesce(FILES), "stars"), None
+    edges, last, before = both.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), None, None
     for _ in range(rounds):
         # a written table ends the plan, so it doesn't grow with the rounds
-        last, edges = edges, materialise(_small_star(_large_star(edges)).coalesce(FILES), "stars")
+        edges = materialise(_small_star(_large_star(edges)), "stars")
         sums = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(u as decimal(38)) - v)")).first()
         drop(last)
         if tuple(sums) == before:
             nodes = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            labels = materialise(nodes.unionByName(roots).coalesce(FILES), "labels")
-            drop(edges)
-            return labels
-        before = tuple(sums)
+            return nodes.unionByName(roots)
+        last, before = edges, tuple(sums)
     raise RuntimeError(f"no fixed point after {rounds} rounds")

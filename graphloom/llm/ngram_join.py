@@ -225,20 +225,17 @@ class _Join:
 
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.docs, self.k, self.percent = docs, k, percent
-        profiles = materialise(_profiles(docs, k, percent, _frequent(docs, k)), "profiles")
-        self.rows = materialise(profiles.select("doc_id", "n", "node"), "rows")
-        self.owners = materialise(self.rows.where("n > 0 and doc_id is not null").groupBy("doc_id", "node").agg(F.count("*").alias("times")), "owners")
-        self.copies = materialise(self.owners.groupBy("node").agg(F.min(F.struct("doc_id", "times")).alias("x")).select("node", "x.*"), "copies")
-        of_id = self.owners.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1")
-        self.twins = materialise(self.owners.join(of_id, "doc_id").where("node <> a").select("a", F.col("node").alias("b")), "twins")
-        self.repeats = not (self.twins.isEmpty() and self.copies.where("times > 1").isEmpty())
-        reps = profiles.join(self.copies, ["node", "doc_id"], "left_semi").drop("doc_id")
+        self.profiles = materialise(_profiles(docs, k, percent, _frequent(docs, k)), "profiles")
+        filled = self.profiles.where("n > 0 and doc_id is not null").select("doc_id", "node")
+        self.owners = filled.distinct()
+        self.copies = materialise(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "copies")
+        of_id = filled.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1")
+        self.repeats = not of_id.isEmpty()
+        self.twins = self.owners.join(of_id, "doc_id").where("node <> a").select("a", F.col("node").alias("b")) if self.repeats else None
+        reps = self.profiles.join(self.copies, ["node", "doc_id"], "left_semi").drop("doc_id")
         self.reps = materialise(reps.dropDuplicates(["node"]) if self.repeats else reps, "reps")
-        drop(profiles)
-        hashes = materialise(_shared_hashes(self.reps), "hashes")
         entries = self.reps.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h"))
-        self.entries = materialise(entries.join(hashes.hint("shuffle_hash"), "h", "left_semi"), "entries")
-        drop(hashes)
+        self.entries = materialise(entries.join(_shared_hashes(self.reps).hint("shuffle_hash"), "h", "left_semi"), "entries")
         met = self.entries.groupBy("node").agg(F.count("*").alias("met"))
         self.standing = materialise(met.join(self.reps.select("node", F.size("prefix").alias("p")), "node").select("node", F.expr("cast(1000 * met div p as int)").alias("standing")), "standing")
         self.members = self.standing.count()
@@ -274,9 +271,7 @@ class _Join:
         every = tagged.select("h", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("comp").alias("d"), "major", F.col("bits").alias("b_bits"))
         across = minor.join(every, "h").where("c <> d and (d = major or a < b)")
         across = across.where(_length_filter("a_n", "b_n", self.percent) & _positional_filter(self.percent) & _signature_filter(self.percent))
-        across = materialise(_ordered(across), "across")
-        drop(tagged)
-        return across
+        return _ordered(across)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that are links; each pair is compared once, on the whole sets."""
@@ -285,7 +280,7 @@ class _Join:
         shared = F.expr("aggregate(zip_with(a_parts, b_parts, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
         pairs = materialise(sides.where(shared * (100 + self.percent) >= (F.col("a_n") + F.col("b_n")) * self.percent).select("a", "b").distinct(), "pairs")
         bound = 2 * pairs.count()
-        nodes = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(self.copies, "node").select("node", "doc_id"), "nodes")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.copies, "node").select("node", "doc_id")
         texts = self.docs.join(_few(nodes.select("doc_id").distinct(), bound), "doc_id", "left_semi")
         sets = _sets(texts, self.k)
         if self.repeats:  # an id may stand for other texts too, and a text for several rows
@@ -294,7 +289,7 @@ class _Join:
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         both = both.select("a", "b", F.size("sa").alias("x"), F.size("sb").alias("y"), F.size(F.array_intersect("sa", "sb")).alias("o"))
         links = materialise(both.where((100 * F.col("o")) >= self.percent * (F.col("x") + F.col("y") - F.col("o"))).select("a", "b").distinct(), "links")
-        for table in (pairs, nodes, sets):
+        for table in (pairs, sets):
             drop(table)
         return links
 
@@ -318,11 +313,11 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     join = _Join(docs, k, percent)
-    links, labels = join.twins, None
     star = tried = materialise(join.star(None, 0), "star")
-    entries = join.entries.count()
+    links, labels, entries = join.twins, None, join.entries.count()
     for salt in range(1, 2 + ROUNDS):
-        links = links.unionByName(join.verified(star))
+        found = join.verified(star)
+        links = found if links is None else links.unionByName(found)
         drop(labels)
         labels = components(links)
         mixed = join.mixed(labels)
@@ -331,16 +326,15 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         star = materialise(join.star(labels, salt).join(tried, ["a", "b"], "left_anti"), "star")
         tried = tried.unionByName(star)
         drop(mixed)
-    rest = join.residual(labels, mixed)
-    links = links.unionByName(join.verified(rest.join(tried, ["a", "b"], "left_anti")))
-    for table in (rest, tried, labels, mixed):
-        drop(table)
-    labels = components(links)
-    for table in (join.entries, join.reps, join.standing, links):
+    more = join.verified(join.residual(labels, mixed).join(tried, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        drop(labels)
+        labels = components(links.unionByName(more))
+    for table in (tried, mixed, join.entries, join.reps, join.standing):
         drop(table)
     owner = join.copies.select("node", "doc_id").join(labels.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = owner.groupBy("comp").agg(F.min("doc_id").alias("component"))
     owner = owner.join(least, "comp").select("node", "component")
     of_id = join.owners.join(owner, "node").groupBy("doc_id").agg(F.min("component").alias("component"))
-    found = join.rows.join(of_id, "doc_id", "left")
+    found = join.profiles.select("doc_id", "n").join(of_id, "doc_id", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
