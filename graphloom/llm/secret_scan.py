@@ -14,7 +14,9 @@ so no key can skew the scan and nothing is shuffled.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -38,13 +40,18 @@ CLASSES = {"hex": (20, 3.0), "alnum": (20, 3.6), "base64": (20, 3.7), "letters":
 ALLOW = [
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # a UUID
     re.compile(r".*(EXAMPLE|example|XXXX|xxxx|0123456789|abcdefgh).*"),  # placeholders
-    re.compile(r"[+/_=-]*(.)\1*[+/_=-]*"),  # rulers
     re.compile(r"[A-Za-z]{2,}([_/+-][A-Za-z]{2,}|[_/+-][0-9]{1,4})+"),  # names and paths of words
     re.compile(r"[0-9_+=/-]+"),  # phone numbers, dates, card numbers
 ]
 N_LOG_N = [0.0] + [n * math.log2(n) for n in range(1, 65)]
 
 
+def allowed(text: str) -> bool:
+    """Whether the allow list knows a candidate: a ruler (one character again and again, but for marks
+    at its ends) or one of ALLOW.  Linear in the length of the candidate."""
+    return len(set(text.strip("+/_=-"))) <= 1 or any(a.fullmatch(text) for a in ALLOW)
+
+
 def character_class(text: str) -> str:
     if re.fullmatch(r"[0-9a-fA-F]+", text):
         return "hex"
@@ -94,16 +101,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     found = []
+    starts, ends = [x for x, _, _ in base], list(itertools.accumulate((y for _, _, y in base), max))
     for m in CANDIDATE.finditer(text):
         s = m[0]
         if s.isalpha() and (s[1:].islower() or s.isupper()):
             continue  # a word: one case throughout, or a capital in front
-        if any(a.fullmatch(s) for a in ALLOW):
+        if allowed(s):
             continue
         window, least = CLASSES[character_class(s)]
         for a, b in entropy_windows(s, window, least):
             a, b = a + m.start(), b + m.start()
-            if not any(x <= a and b <= y for x, _, y in base):
+            before = bisect.bisect_right(starts, a)  # of the base spans that start no later, one ends last
+            if not before or ends[before - 1] < b:
                 found.append((a, 3, b))
     return found
 
