@@ -18,8 +18,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
     """(doc_id, text, label, calibrates): at most ``rows`` learnable documents of each label, the same at each run.
 
     ``calibrates`` marks a quarter of them: those that set the calibration of a model learned from
-    the others.  Labels that aren't 0 or 1 are left out; of several labels of a document the largest counts.  The
-    ids of the sample, at most 2 * ``rows``, are the broadcast side of the join with the texts.
+    the others.  Labels that aren't 0 or 1 are left out; of several labels of a document the largest
+    counts, of several texts the first in order.  The ids of the sample, at most 2 * ``rows``, are the
+    broadcast side of the join with the texts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where("doc_id is not null and label in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -28,7 +29,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         ids = part if ids is None else ids.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return materialise(texts.join(F.broadcast(ids), "doc_id").withColumn("calibrates", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 4), "sample")
+    found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    return materialise(found.withColumn("calibrates", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 4), "sample")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:

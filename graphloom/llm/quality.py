@@ -2,15 +2,17 @@
 bad labelled text.
 
 A text is compressed in blocks with either dictionary and with none.  Its evidence is the difference
-of the two sizes over the size without a dictionary (normalised compressed-size difference) and the
-logarithm of how far it compresses by itself; a logistic regression on labelled rows turns them into
-a probability.  The blocks keep a long text from teaching the compressor its own vocabulary, which
+of the two sizes over the size without a dictionary, the normalised compressed-size difference; a
+logistic regression on labelled rows, whose dictionaries were built without them, turns it into a
+probability.  The blocks keep a long text from teaching the compressor its own vocabulary, which
 would drown the dictionaries; every block of the whole text counts.
+
+Dictionaries are trained from blocks that are drawn by a hash from the whole texts of the labelled
+sample; what reaches the driver is bounded by SAMPLES blocks and FIT_ROWS numbers of each class.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import labelled
 
 FIT_ROWS = 3_000  #: labelled rows of each class that are learned from, at most
-FIT_CHARS = 30_000  #: of the text of a row that is learned from
+SAMPLES = 4_000  #: blocks of each class that a dictionary is trained from, at most
 DICTIONARY = 65_536  #: bytes of a dictionary
 BLOCK = 2_048  #: bytes that are compressed together
 LEVEL = 3
@@ -35,14 +37,11 @@ def _blocks(data: bytes) -> list[bytes]:
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary, or the samples themselves where they are too few to train one."""
-    samples = [s for s in samples if len(s) >= 8]
-    if len(samples) >= 200:
-        try:
-            return zstandard.train_dictionary(DICTIONARY, samples, k=256, d=8).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"".join(samples)[-DICTIONARY:]
+    """A trained dictionary; as many samples as fill one where the trainer finds too little in them."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY, samples, k=256, d=8).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[:DICTIONARY]
 
 
 class Compressors:
@@ -56,38 +55,67 @@ class Compressors:
             self.each.append(zstandard.ZstdCompressor(dict_data=known, **plain) if known else zstandard.ZstdCompressor(**plain))
         self.each.append(zstandard.ZstdCompressor(**plain))
 
-    def evidence(self, text: str | None) -> tuple[float, float, int]:
-        """(normalised difference, log of the ratio by itself, bytes)."""
+    def evidence(self, text: str | None) -> tuple[float, int]:
+        """(normalised difference, bytes)."""
         data = (text or "").encode()
         good, bad, plain = (sum(len(c.compress(b)) for b in _blocks(data)) for c in self.each)
-        return ((bad - good) / plain, float(np.log(plain / len(data))), len(data)) if data else (0.0, 0.0, 0)
+        return ((bad - good) / plain, len(data)) if data else (0.0, 0)
+
+
+def _training_blocks(known: DataFrame) -> DataFrame:
+    """(label, block): blocks of the whole texts of the rows that don't calibrate, at most SAMPLES of a
+    class.  Lines that several rows share are left out first, as they tell texts of one origin, not of
+    one quality; so is a line's repetition in a text."""
+    line = known.select("doc_id", "label", "calibrates", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    once = line.groupBy("line").agg(F.min(F.struct("doc_id", "pos", "label", "calibrates")).alias("x"), F.max("doc_id").alias("last"))
+    once = once.where("x.doc_id = last and not x.calibrates").select("x.doc_id", "x.pos", "x.label", "line")
+    own = once.groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
+    own = own.select("doc_id", "label", F.encode(F.array_join("lines.line", "\n"), "utf-8").alias("data")).where("octet_length(data) > 0")
+    cut = F.expr(f"transform(sequence(0, cast((octet_length(data) - 1) div {BLOCK} as int)), i -> substring(data, i * {BLOCK} + 1, {BLOCK}))")
+    blocks = own.select("doc_id", "label", F.posexplode(cut).alias("i", "block")).where("octet_length(block) >= 8")
+    drawn = None
+    for value in (0, 1):
+        part = blocks.where(F.col("label") == value).orderBy(F.xxhash64("doc_id", "i"), "doc_id", "i").limit(SAMPLES)
+        drawn = part if drawn is None else drawn.unionByName(part)
+    return drawn.select("label", "block")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> dict:
-    """The model: two dictionaries, weights and the share of label 1.  Learns from at most ``rows``
-    labelled rows of each class, FIT_CHARS characters of each; lines that several of them share are
-    left out of the dictionaries, as they tell texts of one origin, not of one quality."""
-    known = labelled.sample(docs, labels, label, rows).orderBy("doc_id").select(F.substring("text", 1, FIT_CHARS).alias("text"), "label", "calibrates").toPandas()
-    lines = [list(dict.fromkeys(t.split("\n"))) for t in known["text"]]
-    times = Counter(x for found in lines for x in found)
-    own = ["\n".join(x for x in found if times[x] == 1).encode() for found in lines]
-    label_of, late = known["label"].tolist(), known["calibrates"].tolist()
-    half = {value: [b for i, x in enumerate(own) if label_of[i] == value and not late[i] for b in _blocks(x)] for value in (0, 1)}
-    model = {"good": _dictionary(half[1]), "bad": _dictionary(half[0]), "prior": float(known["label"].mean()) if len(known) else 0.5}
-    compressors = Compressors(model["good"], model["bad"])
-    rest = known[known["calibrates"]] if known["calibrates"].any() else known
-    x = np.array([compressors.evidence(t)[:2] for t in rest["text"]]).reshape(-1, 2)
-    y = rest["label"].to_numpy(float)
-    one_class = len(set(y.tolist())) < 2
-    model["weights"] = np.zeros(3) if one_class else labelled.logistic(x, y)
-    if one_class:
+    """The model: two dictionaries, weights and the share of label 1.  Learns from the whole texts of at
+    most ``rows`` labelled rows of each class; a quarter of them set the calibration only."""
+    known = labelled.sample(docs, labels, label, rows)
+    samples: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in _training_blocks(known).collect():  # at most 2 * SAMPLES blocks
+        samples[r["label"]].append(bytes(r["block"]))
+    share = known.agg(F.avg("label"), F.count_if("calibrates")).first()
+    model = {"good": _dictionary(samples[1]), "bad": _dictionary(samples[0]), "prior": 0.5 if share[0] is None else float(share[0])}
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = Compressors(sent.value["good"], sent.value["bad"])
+        for batch in batches:
+            x = [compressors.evidence(t.as_py())[0] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], ["label", "difference"])
+
+    rest = known.where("calibrates") if share[1] else known
+    table = rest.select("label", "text").mapInArrow(judge, "label int, difference double").toPandas()  # at most 2 * rows numbers
+    y = table["label"].to_numpy(float)
+    if len(set(y.tolist())) == 2:
+        model["weights"] = labelled.logistic(table[["difference"]].to_numpy(), y)
+    else:
         p = min(max(model["prior"], 0.01), 0.99)
-        model["weights"][0] = np.log(p / (1 - p))
+        model["weights"] = np.array([np.log(p / (1 - p)), 0.0])
     return model
 
 
+def _probabilities(texts, compressors: Compressors, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(chance of label 1, difference) of each text."""
+    x = np.array([compressors.evidence(t) for t in texts], float).reshape(-1, 2)
+    return np.where(x[:, 1] > 0, labelled.probability(x[:, :1], model["weights"]), model["prior"]), x[:, 0]
+
+
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, held_out, score, predicted, difference, log_ratio.
+    """One row for each row of ``docs``: doc_id, held_out, score, predicted, difference.
 
     The score comes from the text alone and is the chance of label 1.  A null or empty text gets the
     share of label 1 among the rows learned from; without labelled rows of both classes, all texts get
@@ -99,15 +127,11 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = Compressors(known.value["good"], known.value["bad"])
         for batch in batches:
-            x = np.array([compressors.evidence(t.as_py()) for t in batch.column(1)], float).reshape(-1, 3)
-            p = np.where(x[:, 2] > 0, labelled.probability(x[:, :2], known.value["weights"]), known.value["prior"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(x[:, 0]), pa.array(x[:, 1])],
-                ["doc_id", "held_out", "score", "predicted", "difference", "log_ratio"],
-            )
+            p, difference = _probabilities((t.as_py() for t in batch.column(1)), compressors, known.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(difference)], ["doc_id", "held_out", "score", "predicted", "difference"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(labelled.held_out(), F.lit(False)))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, difference double, log_ratio double")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, difference double")
 
 
 def accepted(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
@@ -119,7 +143,6 @@ def accepted(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
     @F.pandas_udf(BooleanType())
     def good(text: pd.Series) -> pd.Series:
         compressors = Compressors(known.value["good"], known.value["bad"])
-        x = np.array([compressors.evidence(t) for t in text], float).reshape(-1, 3)
-        return pd.Series(np.where(x[:, 2] > 0, labelled.probability(x[:, :2], known.value["weights"]), known.value["prior"]) >= threshold)
+        return pd.Series(_probabilities(text, compressors, known.value)[0] >= threshold)
 
     return docs.where(good(F.col("text").cast("string")))
