@@ -5,12 +5,13 @@ plan: a plan that reads cached plans that read cached plans doubles with each of
 describes it.  Tables that no later step needs are dropped (:func:`drop`).
 
 A written table survives a lost executor, unlike an executor-local checkpoint.  The folder is the
-one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, notebooks on one
-machine) a temporary folder of the driver is used instead.
+one the cluster names in ``spark.checkpoint.dir``; only where that is unset and Spark runs in one
+process (tests, notebooks) a temporary folder is used instead.  A cluster without it is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
         named = spark.sparkContext.getCheckpointDir()
     return named

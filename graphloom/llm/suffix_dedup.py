@@ -6,8 +6,9 @@ inverting the BWT of string collections", 2013, and the LCP extension by Cox et
 round inserts one symbol of each document of a collection, in front of its current suffix.  The
 last round's Burrows-Wheeler column (the symbols in front of the suffixes in sorted order) gives
 the new order by a stable sort, and the new common prefixes are one more than the minimum of the
-old ones in between.  Columns are read from, and results written to, files that are only passed
-through in sequence, so a task holds a few numbers for each document, not the text.
+old ones in between.  Columns are passed through in sequence, once each.  A task takes BATCH
+documents of ``2 * LENGTH - GRAM`` bytes at a time (and never more than BATCH + HOT), about 27 MB, so
+the columns stay in memory and no file of a machine's own is needed.
 
 A whole corpus is too long for that (a round for each byte of its longest text), so it is first cut
 into collections that can be treated apart without losing a match:
@@ -28,7 +29,6 @@ Collections are dealt by the anchor's hash, so the work is spread evenly and no
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +44,7 @@ GRAM = 32  #: bytes of an anchor
 HOT = 20_000  #: largest collection that one task takes
 BATCH = 15_000  #: documents of collections that are treated at a time, in whole collections
 PIECE = 1 << 20  #: windows of one text that are looked at together
+SALTS = 32  #: parts into which the places of one repeated window over a hot gram are dealt
 BROADCAST_IDS = 500_000  #: texts up to which their keys are broadcast to keep other texts out of a shuffle
 SECOND = (tn.BASE * 0x2545F4914F6CDD1D + 0x1234567) % (1 << 64) | 3  #: base of the second fingerprint
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -136,33 +137,31 @@ def repeated_columns(group: np.ndarray, left: np.ndarray, around: list[bytes], l
     width = before + length
     low = (before - left).astype(np.int32)
     high = low + np.fromiter(map(len, around), np.int32, n)
-    with tempfile.TemporaryFile() as file:
-        columns = np.memmap(file, np.uint8, "w+", shape=(width, n))
-        for i in range(0, n, 4096):
-            rows = b"".join(b"\0" * int(lo) + x + b"\0" * (width - int(lo) - len(x)) for x, lo in zip(around[i : i + 4096], low[i : i + 4096], strict=True))
-            columns[:, i : i + 4096] = np.frombuffer(rows, np.uint8).reshape(-1, width).T
-        order = np.arange(n)
-        bound = group.astype(np.int32) * 257
-        common = np.zeros(n + 1, np.int32)  # of the documents at i - 1 and i of the order
-        for c in range(width - 1, -1, -1):
-            there = (low <= c) & (c < high)
-            bwt = (bound + np.where(there, columns[c].astype(np.int32) + 1, 0))[order]
-            perm = np.argsort(bwt, kind="stable")
-            sorted_bwt = bwt[perm]
-            order = order[perm]
-            same = np.flatnonzero((sorted_bwt[1:] == sorted_bwt[:-1]) & there[order[1:]]) + 1
-            a, b = perm[same - 1] + 1, perm[same]
-            least = common[b]
-            far = np.flatnonzero(a < b)
-            if len(far):
-                ends = np.empty(2 * len(far), np.int64)
-                ends[::2], ends[1::2] = a[far], b[far] + 1
-                least[far] = np.minimum.reduceat(common, ends)[::2]
-            common = np.zeros(n + 1, np.int32)
-            common[same] = least + 1
-            if c <= before:
-                yield c, order[np.maximum(common[:-1], common[1:]) >= length]
-        del columns
+    columns = np.empty((width, n), np.uint8)
+    for i in range(0, n, 4096):
+        rows = b"".join(b"\0" * int(lo) + x + b"\0" * (width - int(lo) - len(x)) for x, lo in zip(around[i : i + 4096], low[i : i + 4096], strict=True))
+        columns[:, i : i + 4096] = np.frombuffer(rows, np.uint8).reshape(-1, width).T
+    order = np.arange(n)
+    bound = group.astype(np.int32) * 257
+    common = np.zeros(n + 1, np.int32)  # of the documents at i - 1 and i of the order
+    for c in range(width - 1, -1, -1):
+        there = (low <= c) & (c < high)
+        bwt = (bound + np.where(there, columns[c].astype(np.int32) + 1, 0))[order]
+        perm = np.argsort(bwt, kind="stable")
+        sorted_bwt = bwt[perm]
+        order = order[perm]
+        same = np.flatnonzero((sorted_bwt[1:] == sorted_bwt[:-1]) & there[order[1:]]) + 1
+        a, b = perm[same - 1] + 1, perm[same]
+        least = common[b]
+        far = np.flatnonzero(a < b)
+        if len(far):
+            ends = np.empty(2 * len(far), np.int64)
+            ends[::2], ends[1::2] = a[far], b[far] + 1
+            least[far] = np.minimum.reduceat(common, ends)[::2]
+        common = np.zeros(n + 1, np.int32)
+        common[same] = least + 1
+        if c <= before:
+            yield c, order[np.maximum(common[:-1], common[1:]) >= length]
 
 
 def _construct(surroundings: DataFrame, length: int) -> DataFrame:
@@ -269,8 +268,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     found = _construct(around.where("h is not null and not hot").select("t1", "t2", "h", "pos", "left", "around"), length)
     prints = _fingerprints(around.where("hot"), length)
     own = F.struct("t1", "t2", "start")
-    twice = prints.groupBy("w1", "w2").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("w1", "w2")
-    hot_found = prints.join(twice, ["w1", "w2"]).select("t1", "t2", "start", (F.col("start") + length).alias("end"))
+    twice = prints.groupBy("w1", "w2").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi")
+    twice = twice.select("w1", "w2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = prints.withColumn("salt", F.pmod(F.xxhash64("t1", "t2", "start"), F.lit(SALTS)).cast("int"))
+    hot_found = dealt.join(twice, ["w1", "w2", "salt"]).select("t1", "t2", "start", (F.col("start") + length).alias("end"))
     inner = around.where("start is not null").select("t1", "t2", "start", "end")
     spans = found.unionByName(hot_found).unionByName(inner)
     spans = materialise(spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
