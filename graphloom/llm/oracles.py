@@ -14,7 +14,7 @@ OP4 = f"""
 WITH c AS (SELECT doc_id, source, lang, len({WORDS.format("coalesce(text, '')")}) AS words, strlen(coalesce(text, '')) AS bytes FROM documents WHERE doc_id IS NOT NULL),
 t AS (SELECT doc_id, source, lang, 'words_v1' AS tokenizer, words AS n FROM c UNION ALL SELECT doc_id, source, lang, 'bytes_v1', bytes FROM c),
 o AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY doc_id, tokenizer ORDER BY n DESC, source DESC NULLS LAST, lang DESC NULLS LAST) = 1)
-SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM o GROUP BY source, lang, tokenizer"""
+SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM o WHERE n > 0 GROUP BY source, lang, tokenizer"""
 
 OP6 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),

@@ -2,8 +2,9 @@
 
 A rollup lives in one folder of the shared store:
 
-* ``ledger/batch=<id>``: signed rows (doc_id, tokenizer, source, lang, n_tokens, sign); what a document
-  contributes now is the sum of its signed rows, so nothing is ever updated in place;
+* ``ledger/batch=<id>/bucket=<b>``: signed rows (doc_id, tokenizer, source, lang, n_tokens, sign), dealt
+  by a hash of doc_id; what a document contributes now is the sum of its signed rows, so nothing is
+  ever updated in place, and a batch reads only the buckets of the documents that it changes;
 * ``totals/batch=<id>``: the batch's deltas, (source, lang, tokenizer, n_docs, n_tokens), added up;
 * ``commits/batch=<id>``: a marker that is written last.
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 KEYS = ("doc_id", "tokenizer")
 GROUP = ("source", "lang", "tokenizer")
+BUCKETS = 64  #: of the ledger
+LEDGER = "doc_id long, tokenizer string, source string, lang string, n_tokens long, sign long, batch string, bucket int"
 
 
 def word_count(text: str = "text") -> Column:
@@ -54,6 +57,7 @@ def bpe_count(ranks: str) -> Callable[[str], Column]:
     return lambda column="text": count(F.col(column))
 
 
+#: Tokenizer versions that SQL can count too.
 COUNTERS: dict[str, Callable[[str], Column]] = {"words_v1": word_count, "bytes_v1": byte_count}
 
 
@@ -81,16 +85,28 @@ class Rollup:
         return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
 
     def _read(self, table: str, batches: list[str]) -> DataFrame | None:
-        return self.spark.read.parquet(*[f"{self.path}/{table}/batch={b}" for b in batches]) if batches else None
-
-    def current(self, batches: list[str] | None = None) -> DataFrame | None:
-        """What each document contributes now: (doc_id, tokenizer, source, lang, n_tokens, n_docs)."""
+        if not batches:
+            return None
+        if table == "ledger":
+            read = self.spark.read.schema(LEDGER).option("basePath", f"{self.path}/{table}")
+            return read.parquet(*[f"{self.path}/{table}/batch={b}" for b in batches]).drop("batch")
+        return self.spark.read.parquet(*[f"{self.path}/{table}/batch={b}" for b in batches])
+
+    def current(self, batches: list[str] | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        """What each document contributes now: (doc_id, tokenizer, source, lang, n_tokens, n_docs); of
+        ``buckets`` of the ledger only, if they are named."""
         ledger = self._read("ledger", self.committed() if batches is None else batches)
         if ledger is None:
             return None
+        if buckets is not None:
+            ledger = ledger.where(F.col("bucket").isin(buckets))
         net = ledger.groupBy(*KEYS, "source", "lang", "n_tokens").agg(F.sum("sign").alias("n_docs"))
         return net.where("n_docs <> 0")
 
+    def _write(self, signed: DataFrame, table: str, batch: str) -> None:
+        dealt = signed.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
+        dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{table}/batch={batch}")
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch of changes once; False if it was applied before.
 
@@ -108,11 +124,13 @@ class Rollup:
         rows = rows.select("op", *columns, F.coalesce(F.col("n_tokens").cast("long"), F.lit(0).cast("long")).alias("n_tokens"), F.coalesce(F.col("seq").cast("long"), F.lit(0).cast("long")).alias("seq"))
         last = rows.groupBy(*KEYS).agg(F.max(F.struct("seq", "n_tokens", "op", "source", "lang")).alias("x")).select(*KEYS, "x.*").drop("seq")
         signed = last.where("op <> 'delete'").select(*columns, "n_tokens", F.lit(1).cast("long").alias("sign"))
-        now = self.current(before)
-        if now is not None:
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+        if before:
+            touched = [r[0] for r in rows.select(bucket).distinct().collect()]  # at most BUCKETS numbers
+            now = self.current(before, touched)
             gone = now.join(last.select(*KEYS), list(KEYS), "left_semi")
             signed = signed.unionByName(gone.select(*columns, "n_tokens", (-F.col("n_docs")).alias("sign")))
-        signed.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/ledger/batch={batch}")
+        self._write(signed, "ledger", batch)
         written = self._read("ledger", [batch])
         delta = written.groupBy(*GROUP).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
         delta.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals/batch={batch}")
@@ -133,24 +151,27 @@ class Rollup:
         now = self.current()
         if now is None:
             return
-        now.withColumnRenamed("n_docs", "sign").write.mode("overwrite").parquet(f"{other.path}/ledger/batch=0")
+        other._write(now.withColumnRenamed("n_docs", "sign"), "ledger", "0")
         self.totals().write.mode("overwrite").parquet(f"{other.path}/totals/batch=0")
         self.spark.range(1).write.mode("overwrite").parquet(f"{other.path}/commits/batch=0")
 
 
 def rollup_documents(docs: DataFrame, path: str, counters: dict[str, Callable[[str], Column]] | None = None) -> DataFrame:
     """Token totals of ``docs`` by source, language and tokenizer version, maintained in three batches
-    at ``path``: all documents are inserted with one token as a stand-in, as if not counted yet, then
-    every count is revised to that of its tokenizer, and the revision is replayed, which does nothing.
+    at ``path``: all documents are inserted with one token as a stand-in, as if not counted yet; every
+    count is revised to that of its tokenizer, and the revision is replayed, which does nothing; then
+    counts of documents without a token are deleted.
 
     Rows that share a doc_id are one document, whose largest row in (n_tokens, source, lang) counts; a null
     doc_id is left out; a null source or language is a group of its own; a null text has no tokens.
     """
     rollup = Rollup(docs.sparkSession, path)
-    counted = counts(docs.where("doc_id is not null"), counters)
-    first = counted.select(F.lit("insert").alias("op"), "doc_id", "tokenizer", "source", "lang", F.lit(1).cast("long").alias("n_tokens"), F.lit(0).alias("seq"))
-    rollup.commit("0001-insert", first)
-    revised = counted.select(F.lit("revise").alias("op"), "doc_id", "tokenizer", "source", "lang", "n_tokens", F.lit(0).alias("seq"))
+    counted = counts(docs.where("doc_id is not null"), counters).withColumn("doc_id", F.col("doc_id").cast("long"))
+    change = lambda rows, op, n: rows.select(F.lit(op).alias("op"), "doc_id", "tokenizer", "source", "lang", n.cast("long").alias("n_tokens"), F.lit(0).alias("seq"))
+    rollup.commit("0001-insert", change(counted, "insert", F.lit(1)))
+    revised = change(counted, "revise", F.col("n_tokens"))
     rollup.commit("0002-revise", revised)
     rollup.commit("0002-revise", revised)  # a replay changes nothing
+    empty = rollup.current().where("n_tokens = 0")
+    rollup.commit("0003-delete", change(empty, "delete", F.col("n_tokens")))
     return rollup.totals()

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -74,6 +75,20 @@ def test_entropy_secret_is_found_and_known_forms_are_not():
     assert key not in secret_scan.redact(f"a {key} b")
 
 
+@settings(max_examples=150, deadline=None)
+@given(some.text(alphabet="ab=-_+", min_size=1, max_size=9))
+def test_rulers_equal_the_pattern(text):
+    assert (len(set(text.strip("+/_=-"))) <= 1) == bool(re.fullmatch(r"[+/_=-]*(.)\1*[+/_=-]*", text))
+
+
+def test_long_runs_take_linear_time():
+    many = " ".join(f"token={i:08d}abcd q8Zr2Lw0Xk7Vb4Tn9Yc3Jd6Hf1Gs5P{i}" for i in range(3_000))
+    for text in ("=" * 1_000_000 + "ab", "-" * 1_000_000, "0123456789abcdef" * 30_000, "Ab9/" * 60_000, "ab_" * 100_000 + "!", "password" + " " * 1_000_000, "a-b" * 100_000, many):
+        began = time.process_time()
+        secret_scan.find_secrets(text)
+        assert time.process_time() - began < 5, text[:40]
+
+
 # --- n-gram join
 
 
@@ -253,6 +268,35 @@ def test_held_out_accuracy(spark, name, label, least):
     assert auc(both["score"].to_numpy(), both[label].to_numpy()) >= least
 
 
+def test_quality_scores_equal_recomputed_sizes(spark, sf):
+    """Sizes, difference and score of every text again, by the plain compressor and the model's numbers."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    plain = {"level": quality.LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    each = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(model[x]), **plain) for x in ("good", "bad")] + [zstandard.ZstdCompressor(**plain)]
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = quality.score(docs, model).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        data = texts[r.doc_id].encode()
+        good, bad, alone = (sum(len(c.compress(data[i : i + 2048])) for i in range(0, len(data), 2048)) for c in each)
+        want = 1 / (1 + np.exp(-(model["weights"][0] + model["weights"][1] * (bad - good) / alone))) if data else model["prior"]
+        assert abs(r.score - want) < 1e-9 and r.predicted == (want >= 0.3)
+
+
+def test_quality_learns_from_whole_texts_and_bounds_repeated_ids(spark, docs_of, labels_of):
+    rng = np.random.default_rng(2)
+    say = lambda stem, n: "\n".join(" ".join(f"{stem}{i}" for i in rng.integers(0, 60, 12)) for _ in range(n))
+    alike = [say("same", 150) for _ in range(60)]  # some 9,000 characters before the part that tells the classes apart
+    pairs = [(i, t + "\n" + say("good" if i % 2 else "bad", 25)) for i, t in enumerate(alike)]
+    docs, labels = docs_of(pairs + [pairs[3]] * 200), labels_of([(i, i % 2, 0) for i, _ in pairs])
+    got = quality.score(docs, quality.fit(docs, labels)).toPandas().drop_duplicates("doc_id")
+    assert auc(got["score"].to_numpy(), got["doc_id"].to_numpy() % 2) > 0.95
+    assert labelled.sample(docs, labels, "quality", 100).count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in pairs)
+
+
 @settings(max_examples=80, deadline=None)
 @given(some.lists(some.integers(-5, 5), max_size=24))
 def test_segments_equal_repeated_best_segment(values):
