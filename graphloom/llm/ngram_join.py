@@ -20,9 +20,10 @@ and Xiao et al., "Efficient Similarity Joins for Near Duplicate Detection", 2008
    components that don't lie both in the bucket's largest one.  No link that joins two components
    is lost, so the components are exactly those of all links.
 6. Every candidate passes the filters and is verified once on the whole sets.  The suffix filter
-   bounds the overlap by parts: both sets are cut into BUCKETS ranges of hashes, and what two parts
-   share is at most the smaller one.  Finer parts of a hash each, SIGNATURE of them, are kept as the
-   parity of their sizes: at least as many shingles are in one set only as parities differ.
+   bounds the overlap by parts: both sets are cut into BUCKETS ranges of hashes; what two parts share
+   is counted in the first of them, whose hashes a profile keeps, and at most the smaller part in the
+   others.  SIGNATURE parts of another hash are kept as the parity of their sizes: at least as many
+   shingles are in one set only as parities differ.
 """
 
 from __future__ import annotations
@@ -42,10 +43,11 @@ ORDER_TOP = 100_000  #: shingles whose frequency the order knows (12 bytes each
 LOCAL_TOP = 20_000  #: most frequent shingles that a task reports for each LOCAL_SPAN shingles it saw
 LOCAL_SPAN = 2_000_000
 BUCKETS = 64  #: of the suffix filter
-SIGNATURE = 1_024  #: parities of finer parts, as bits
+KEPT = 4  #: of these ranges, whose hashes a profile keeps: a sixteenth of the set
+SIGNATURE = 256  #: parities of other parts, as bits; 32 bytes that go with an entry in the residual round
 RANGE_ROWS = 1_000_000  #: prefix entries to a range of hashes, on average
 ROUNDS = 3  #: star rounds after the first, at most; they only save comparisons, the residual round is whole without them
-CROWD = 4  #: pairs of the residual round for each prefix entry, above which another star round comes first
+CROWD = 4  #: pairs of the residual round for each prefix entry, above which another star round comes first, if the last halved them
 BROADCAST_IDS = 500_000  #: nodes up to which their keys, or keys and components, are broadcast (about 30 MB)
 
 
@@ -98,7 +100,7 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """One row a document: size and key of its set, its prefix, its suffix histogram."""
     known = docs.sparkSession.sparkContext.broadcast(top)
-    schema = "doc_id long, n long, node long, prefix array<long>, parts array<int>, bits array<long>"
+    schema = "doc_id long, n long, node long, prefix array<long>, parts array<int>, kept array<long>, bits array<long>"
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, times = known.value
@@ -116,12 +118,14 @@ def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.n
                 keep = n - (percent * n + 99) // 100 + (n > 0)
                 early = np.arange(len(h)) - at[rows] < keep[rows]
                 cell = rows * BUCKETS + (h >> np.uint64(58)).astype(np.int64)
-                cell_of_bit = rows * SIGNATURE + ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
+                cell_of_bit = rows * SIGNATURE + ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIGNATURE.bit_length() + 1)).astype(np.int64)
                 odd = (np.bincount(cell_of_bit, minlength=count * SIGNATURE) & 1).astype(np.uint8)
                 bits = np.packbits(odd).view(np.int64)
                 histogram = np.bincount(cell, minlength=count * BUCKETS).astype(np.int32)
-                ends = np.zeros(count + 1, np.int32)
+                first_parts = h >> np.uint64(58) < KEPT
+                ends, kept_ends = np.zeros(count + 1, np.int32), np.zeros(count + 1, np.int32)
                 np.cumsum(keep, out=ends[1:])
+                np.cumsum(np.bincount(rows[first_parts], minlength=count), out=kept_ends[1:])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, count).cast(pa.int64()),
@@ -129,9 +133,10 @@ def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.n
                         pa.array(nodes),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(h[early].view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * BUCKETS), pa.array(histogram)),
+                        pa.ListArray.from_arrays(pa.array(kept_ends), pa.array(h[first_parts].view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * (SIGNATURE // 64)), pa.array(bits)),
                     ],
-                    ["doc_id", "n", "node", "prefix", "parts", "bits"],
+                    ["doc_id", "n", "node", "prefix", "parts", "kept", "bits"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(profile, schema)
@@ -275,9 +280,12 @@ class _Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that are links; each pair is compared once, on the whole sets."""
-        brief = self.reps.select("node", "n", "parts", "bits")
-        sides = pairs.join(brief.toDF("a", "a_n", "a_parts", "a_bits"), "a").join(brief.toDF("b", "b_n", "b_parts", "b_bits"), "b").where(_signature_filter(self.percent))
-        shared = F.expr("aggregate(zip_with(a_parts, b_parts, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
+        bound = 2 * pairs.count()
+        brief = self.reps.select("node", "n", "parts", "kept", "bits")
+        if bound <= BROADCAST_IDS:
+            brief = brief.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+        sides = pairs.join(brief.toDF("a", "a_n", "a_parts", "a_kept", "a_bits"), "a").join(brief.toDF("b", "b_n", "b_parts", "b_kept", "b_bits"), "b").where(_signature_filter(self.percent))
+        shared = F.expr(f"size(array_intersect(a_kept, b_kept)) + aggregate(slice(zip_with(a_parts, b_parts, (x, y) -> least(x, y)), {KEPT + 1}, {BUCKETS - KEPT}), 0, (s, x) -> s + x)")
         pairs = materialise(sides.where(shared * (100 + self.percent) >= (F.col("a_n") + F.col("b_n")) * self.percent).select("a", "b").distinct(), "pairs")
         bound = 2 * pairs.count()
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.copies, "node").select("node", "doc_id")
@@ -314,19 +322,23 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     join = _Join(docs, k, percent)
     star = tried = materialise(join.star(None, 0), "star")
-    links, labels, entries = join.twins, None, join.entries.count()
+    links, labels, last = join.twins, None, None
     for salt in range(1, 2 + ROUNDS):
         found = join.verified(star)
         links = found if links is None else links.unionByName(found)
         drop(labels)
         labels = components(links)
         mixed = join.mixed(labels)
-        if salt > ROUNDS or (mixed.agg(F.sum("pairs")).first()[0] or 0) <= CROWD * entries:
+        crowd = mixed.agg(F.sum("pairs")).first()[0] or 0
+        if salt > ROUNDS or crowd <= CROWD * join.entries.count() or (last is not None and crowd > last / 2):
             break
+        last = crowd
         star = materialise(join.star(labels, salt).join(tried, ["a", "b"], "left_anti"), "star")
         tried = tried.unionByName(star)
         drop(mixed)
-    more = join.verified(join.residual(labels, mixed).join(tried, ["a", "b"], "left_anti"))
+    rest = materialise(join.residual(labels, mixed).join(tried, ["a", "b"], "left_anti"), "rest")
+    more = join.verified(rest)
+    drop(rest)
     if not more.isEmpty():
         drop(labels)
         labels = components(links.unionByName(more))
