@@ -245,11 +245,14 @@ class _Join:
         self.standing = materialise(met.join(self.reps.select("node", F.size("prefix").alias("p")), "node").select("node", F.expr("cast(1000 * met div p as int)").alias("standing")), "standing")
         self.members = self.standing.count()
 
-    def tagged(self, labels: DataFrame | None) -> DataFrame:
-        """The entries with their node's standing and component (itself, where it has no links yet)."""
+    def tagged(self, labels: DataFrame | None, bits: bool = False) -> DataFrame:
+        """The entries with their node's standing, component (itself, where it has no links yet) and,
+        if asked for, parities."""
         known = self.standing.withColumn("comp", F.col("node"))
         if labels is not None:
             known = self.standing.join(labels.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if bits:
+            known = known.join(self.reps.select("node", "bits"), "node")
         return self.entries.join(_few(known, self.members), "node")
 
     def star(self, labels: DataFrame | None, salt: int) -> DataFrame:
@@ -270,8 +273,7 @@ class _Join:
 
     def residual(self, labels: DataFrame, mixed: DataFrame) -> DataFrame:
         """Candidates across components, from the buckets that ``mixed`` names."""
-        tagged = self.tagged(labels)
-        tagged = materialise(tagged.join(mixed.select("h", "major"), "h").join(self.reps.select("node", "bits"), "node"), "tagged")
+        tagged = materialise(self.tagged(labels, bits=True).join(mixed.select("h", "major"), "h"), "tagged")
         minor = tagged.where("comp <> major").select("h", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("comp").alias("c"), F.col("bits").alias("a_bits"))
         every = tagged.select("h", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("comp").alias("d"), "major", F.col("bits").alias("b_bits"))
         across = minor.join(every, "h").where("c <> d and (d = major or a < b)")
