@@ -36,7 +36,7 @@ c AS (SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_item FROM
 SELECT doc_id, item_id, CAST(n_shared AS BIGINT) AS n_shared, CAST(n_item AS BIGINT) AS n_item, n_shared / n_item AS containment FROM c WHERE 100 * n_shared >= 80 * n_item"""
 
 SQL: dict[str, str] = {
-    "op4_token_counts": OP4,
+    "rollup_words_and_bytes": OP4,
     "op6_ngram_jaccard_join": OP6,
     "op7_license_scans": scan_sql(),
     "op10_benchmark_decontamination": OP10,

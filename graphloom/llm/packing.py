@@ -2,14 +2,15 @@
 
 1. A scan tokenizes every document, adds the end token and cuts documents that are too long; what
    stays is a table of pieces (ids of a piece by their CRC).
-2. The histogram of piece lengths, at most ``size`` rows, goes to the driver and is packed best fit,
-   largest first.  If the tokens' volume proves it within ``NEAR`` and a sequence of the best, it stays.
-   Otherwise the configuration LP (the fewest sequences, each filled by a multiset of lengths, that
-   cover the histogram) is solved to a proven gap by column generation; the pricing problem, a most
-   valuable filling for the present dual values, is an unbounded knapsack solved by dynamic
-   programming over the capacity.  Its rounding down is kept, what is left goes to the LP again
-   until no configuration is whole, the rest is packed best fit; the better of the two plans counts.
-   The work depends on ``size`` and not on the number of documents.
+2. The histogram of piece lengths, at most ``size`` rows, goes to the driver, where the configuration
+   LP (the fewest sequences, each filled by a multiset of lengths, that cover the histogram) is solved
+   by multiplicative weights: a length's price falls exponentially with the share of its pieces that
+   is covered; in each round the pricing problem, a most valuable filling, is an unbounded knapsack
+   solved by dynamic programming over the capacity, and the most valuable fillings around each of the
+   longest lengths left are taken, each length by at most STEP of its pieces.  Only whole numbers of fillings are taken, so the
+   solution is rounded down as it grows.  The rounding ends with the pieces left, which are packed best
+   fit: after the last round, or after an earlier one where that saves sequences, as the last rounds
+   run out of short pieces.  The work depends on ``size`` and not on the number of documents.
 3. Pieces get a number within their length: a running count over (length, bucket) groups, with
    enough buckets that no length gathers in one task.  Length and number then give the sequence and
    the place in it by a lookup in the plan.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,30 +30,51 @@ from pyspark.sql import functions as F
 from graphloom.llm.store import materialise
 
 END_ID = 2
-GAP = 1e-3  #: between a solution and the bound that the volume or the LP's prices prove, as a share
-NEAR = 1e-2  #: of a best-fit plan to such a bound, as a share, so that the LP isn't asked
+ETA = 0.02  #: how fast prices fall
+CUTS = (1.0, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)  #: shares of the rounds after which the rest is tried best fit
+STEP = 0.1  #: share of a length's pieces that one round takes, at most (but what one sequence can hold)
+NEXT = 0.9  #: lengths from this share of the longest one on get their best fillings in a round
+TIE = 2e-4  #: by which long pieces go first where prices tie, as a share
+LONG = 50_000  #: characters from which on the tokenizer itself reads a text; the ranks give the same ids, faster
 BUCKET_ROWS = 200_000
 
 
-def load_encoding(ranks: str):
+def load_encoding(ranks: str, special: dict[str, int] | None = None):
     """The byte-level BPE of a ranks file; its ids are those of the tokenizer of the same vocabulary."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks, "rb") as file:
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special or {})
 
 
-def pieces(docs: DataFrame, ranks: str, size: int = 1024) -> DataFrame:
+def load_tokenizer(tokenizer: str, ranks: str | None = None) -> Callable[[str], np.ndarray]:
+    """text -> ids of a tokenizers file, without added special tokens; those that stand in a text are
+    read as such.  A ranks file of the same vocabulary does short texts faster."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer)
+    special = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+    fast = load_encoding(ranks, special) if ranks else None
+
+    def ids(text: str) -> np.ndarray:
+        if fast is not None and len(text) < LONG:
+            return fast.encode_to_numpy(text, allowed_special="all")
+        return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return ids
+
+
+def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int = 1024) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the pieces of every row of ``docs``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = load_encoding(ranks)
+        encode = load_tokenizer(tokenizer, ranks)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                ids = np.append(encoding.encode_to_numpy(text.as_py() or "", disallowed_special=()), np.uint32(END_ID)).astype("<u4")
+                ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
                 edges = [0, *range(len(ids) % size or size, len(ids) + 1, size)] if len(ids) > size else [0, len(ids)]
                 for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                     row.append(i)
@@ -96,62 +118,35 @@ def fillings(first: np.ndarray, took: np.ndarray, size: int) -> np.ndarray:
     return counts
 
 
-def proven(sequences: int, low: float) -> bool:
-    """Whether a plan is within ``NEAR`` and one sequence of the least number that ``low`` allows."""
-    return sequences <= np.ceil(low - 1e-6) * (1 + NEAR) + 1
-
-
-def configuration_lp(demand: np.ndarray, size: int, enough: int | None = None) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """An optimal fractional solution, (configuration, how often), and a lower bound of its sum.
-
-    Columns are generated: the revised simplex method holds a basis of one column a length, its dual
-    values price the lengths, and for every length the best filling that holds it is a candidate.
-    It ends when the sum of the solution is within ``GAP`` of the bound that the prices prove, or when
-    the bound proves that a plan of ``enough`` sequences is as near (:func:`proven`).
-    """
+def covering(demand: np.ndarray, size: int, eta: float = ETA) -> tuple[list[list[tuple[np.ndarray, int]]], np.ndarray, float]:
+    """Rounds of (configuration, how often) by multiplicative weights, the pieces left, and a lower bound
+    of the number of sequences, which the prices of the first rounds prove (the volume at least)."""
     present = np.flatnonzero(demand)
-    m = len(present)
-    d = demand[present] * (1 + 1e-6 * np.random.default_rng(0).random(m))  # no ties, so no pivot leaves the solution as it is
-    basis = [np.eye(1, size + 1, n, dtype=np.int64)[0] * (size // n) for n in present.tolist()]
-    cost, inverse = np.ones(m), np.diag(1.0 / (size // present))
-    x, center = inverse @ d, present / size  # prices by volume prove the volume
-    low, near = float(center @ d), 0.8  # prices near the best so far keep the dual values from swinging
-    while True:
-        y = cost @ inverse
+    volume = present / size
+    left, rounds, low = demand.copy(), [], float(volume @ demand[present])
+    rng = np.random.default_rng(0)
+    while len(live := np.flatnonzero(left)):
+        share = 1 - left[present] / demand[present]
+        price = volume * np.exp(-eta * share) * (1 + TIE * (volume + rng.random(len(present))))
         value = np.full(size + 1, -1.0)
-        value[present] = near * center + (1 - near) * np.maximum(y, 0)
+        value[present] = np.where(left[present] > 0, price, -1.0)
         best, took = prices(value, size)
-        value[present] /= best[size]
-        if float(value[present] @ d) > low:
-            low, center = float(value[present] @ d), value[present]
-        if cost @ x <= low * (1 + GAP) or (enough is not None and proven(enough, low)):
-            break
-        gain = best[size - present] / best[size] + value[present]
-        good = np.argsort(-gain, kind="stable")
-        columns = [(c, c[present].astype(float), 1.0) for c in fillings(present[good], took, size)]
-        columns += [(np.zeros(size + 1, np.int64), -np.eye(1, m, i)[0], 0.0) for i in np.flatnonzero(y < -1e-9).tolist()]  # a surplus
-        moved = 0
-        for filling, column, price in columns:
-            if (cost @ inverse) @ column <= price + 1e-9:
-                continue
-            u = inverse @ column
-            up = np.flatnonzero(u > 1e-9)
-            if not len(up):
-                continue
-            out = up[np.argmin(x[up] / u[up])]
-            step = x[out] / u[out]
-            x -= step * u
-            x[out] = step
-            inverse[out] /= u[out]
-            u[out] = 0
-            inverse -= np.outer(u, inverse[out])
-            basis[out], cost[out] = filling.copy(), price  # a view would keep all the fillings of its round
-            moved += 1
-        if not moved and not near:
+        if len(live) == len(present):
+            low = max(low, float(price @ demand[present]) / best[size])
+        found = fillings(live[live >= NEXT * live[-1]][::-1], took, size)
+        allowed = np.minimum(left, np.ceil(STEP * demand).astype(np.int64) + size // np.maximum(1, np.arange(size + 1)))
+        taken: list[tuple[np.ndarray, int]] = []
+        for filling in found:
+            used = np.flatnonzero(filling)
+            times = int((allowed[used] // filling[used]).min())
+            if times:
+                taken.append((filling.copy(), times))  # a view would keep all the fillings of its round
+                allowed[used] -= filling[used] * times
+                left[used] -= filling[used] * times
+        if not taken:
             break
-        near = 0.8 if moved else 0.0
-        np.maximum(x, 0, out=x)
-    return [(c, v) for c, v, p in zip(basis, x.tolist(), cost.tolist(), strict=True) if p and v > 0], low
+        rounds.append(taken)
+    return rounds, left, low
 
 
 def best_fit(demand: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
@@ -203,26 +198,20 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[np.ndarray, int]]:
     if demand[size]:
         out.append((full, int(demand[size])))
         demand[size] = 0
-    plain = best_fit(demand.copy(), size)
-    packed, left, enough = [], demand.copy(), sum(times for _, times in plain)
-    if proven(enough, float(demand @ np.arange(size + 1)) / size):
-        return out + plain
-    while left.any():
-        before = len(packed)
-        solution, low = configuration_lp(left, size, enough)
-        if enough is not None and proven(enough, low):
-            return out + plain
-        enough = None
-        for filling, x in sorted(solution, key=lambda p: (-p[1], p[0].tobytes())):
-            used = np.flatnonzero(filling)
-            times = min(int(x + 1e-6), int((left[used] // filling[used]).min()))
-            if times:
-                packed.append((filling, times))
-                left[used] -= filling[used] * times
-        if len(packed) == before:
-            break
-    packed += best_fit(left, size)
-    return out + min(packed, plain, key=lambda p: sum(times for _, times in p))
+    return out + rounded(covering(demand, size)[0], demand, size)
+
+
+def rounded(rounds: list[list[tuple[np.ndarray, int]]], demand: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
+    """The rounds up to the latest cut that needs fewest sequences in all, and the rest best fit."""
+    best: list[tuple[np.ndarray, int]] = []
+    fewest = None
+    for n in dict.fromkeys(max(1, int(share * len(rounds))) for share in CUTS):
+        kept = [x for taken in rounds[:n] for x in taken]
+        whole = kept + best_fit(demand - sum((filling * times for filling, times in kept), np.zeros_like(demand)), size)
+        count = sum(times for _, times in whole)
+        if fewest is None or count < fewest:
+            best, fewest = whole, count
+    return best
 
 
 def _places(solution: list[tuple[np.ndarray, int]], size: int) -> dict[int, tuple[np.ndarray, ...]]:
@@ -244,15 +233,15 @@ def _places(solution: list[tuple[np.ndarray, int]], size: int) -> dict[int, tupl
     return {n: (np.array(first[n]), *np.array(runs[n]).T) for n in runs}
 
 
-def pack(docs: DataFrame, ranks: str, size: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int = 1024) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text counts as empty; such a document is the end token alone.  Rows that repeat, or share
     a doc_id, are packed each for itself; a null doc_id stays null.  Texts of any length are
-    tokenized whole and cut into pieces of ``size`` ids, of which the first may be shorter; strings of
-    special tokens are ordinary text.  Other columns are ignored; an empty table gives an empty one.
+    tokenized whole and cut into pieces of ``size`` ids, of which the first may be shorter; the string of
+    a special token gets that token's id, as the tokenizer has it.  Other columns are ignored; an empty table gives an empty one.
     """
-    found = materialise(pieces(docs, ranks, size), "pieces")
+    found = materialise(pieces(docs, tokenizer, ranks, size), "pieces")
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     known = docs.sparkSession.sparkContext.broadcast(_places(plan(counts, size), size))
     buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS)) * 8

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.store import drop, materialise
+
 KEYS = ("doc_id", "tokenizer")
 GROUP = ("source", "lang", "tokenizer")
 BUCKETS = 64  #: of the ledger
@@ -41,18 +43,18 @@ def byte_count(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
 
 
-def bpe_count(ranks: str) -> Callable[[str], Column]:
-    """A counter of byte-level BPE tokens under the vocabulary of a ranks file."""
+def bpe_count(tokenizer: str, ranks: str | None = None) -> Callable[[str], Column]:
+    """A counter of the tokens of a tokenizers file (see :func:`graphloom.llm.packing.load_tokenizer`)."""
     from pyspark.sql.types import LongType
 
-    from graphloom.llm.packing import load_encoding
+    from graphloom.llm.packing import load_tokenizer
 
     held: dict = {}
 
     @F.pandas_udf(LongType())
     def count(text: pd.Series) -> pd.Series:
-        encoding = held.get(ranks) or held.setdefault(ranks, load_encoding(ranks))
-        return text.map(lambda t: len(encoding.encode_ordinary(t)) if t else 0)
+        encode = held.get(0) or held.setdefault(0, load_tokenizer(tokenizer, ranks))
+        return pd.Series([len(encode(t)) if isinstance(t, str) and t else 0 for t in text], dtype="int64")
 
     return lambda column="text": count(F.col(column))
 
@@ -166,7 +168,7 @@ def rollup_documents(docs: DataFrame, path: str, counters: dict[str, Callable[[s
     doc_id is left out; a null source or language is a group of its own; a null text has no tokens.
     """
     rollup = Rollup(docs.sparkSession, path)
-    counted = counts(docs.where("doc_id is not null"), counters).withColumn("doc_id", F.col("doc_id").cast("long"))
+    counted = materialise(counts(docs.where("doc_id is not null"), counters).withColumn("doc_id", F.col("doc_id").cast("long")), "counts")
     change = lambda rows, op, n: rows.select(F.lit(op).alias("op"), "doc_id", "tokenizer", "source", "lang", n.cast("long").alias("n_tokens"), F.lit(0).alias("seq"))
     rollup.commit("0001-insert", change(counted, "insert", F.lit(1)))
     revised = change(counted, "revise", F.col("n_tokens"))
@@ -174,4 +176,5 @@ def rollup_documents(docs: DataFrame, path: str, counters: dict[str, Callable[[s
     rollup.commit("0002-revise", revised)  # a replay changes nothing
     empty = rollup.current().where("n_tokens = 0")
     rollup.commit("0003-delete", change(empty, "delete", F.col("n_tokens")))
+    drop(counted)
     return rollup.totals()

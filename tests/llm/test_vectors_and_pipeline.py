@@ -50,6 +50,7 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     text = lambda d: {r.doc_id: r.text for r in d.collect()}
 
     one = stage["quality_classifier"](spark, docs, sf).cache()
+    # its score is held against recomputed sizes in test_quality_scores_equal_recomputed_sizes
     scored = quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))).collect()
     assert one.columns == docs.columns and set(text(one)) == {r.doc_id for r in scored if r.score >= 0.3}
 
