@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.features import label_frequency
 from graphloom.schema import Graphs
 
+RANGES = 64  #: of query ids
+
 
 def compared(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """(query_id, node, expected, predicted) of every node to infer of ``gold``."""
@@ -79,22 +81,22 @@ def confusion(graphs: Graphs, found: DataFrame) -> DataFrame:
 def folds(graphs: Graphs, k: int) -> DataFrame:
     """(query_id, fold): a number from 1 in order of query_id, modulo ``k``.
 
-    The number comes from range partitions and their sizes, so no task sorts the whole corpus.
+    The number comes from RANGES ranges of ids, cut at their quantiles, and the sizes of the ranges;
+    only those sizes meet in one task.  Any cuts give the same numbers.
     """
     ids = graphs.nodes.select("query_id").distinct()
-    sizes = ids.withColumn("bucket", F.floor(F.col("query_id") / 65536)).groupBy("bucket").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
+    cuts = sorted({int(x) for x in ids.approxQuantile("query_id", [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)})
+    bucket = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]).cast("array<long>"), lambda c: c <= F.col("query_id")))
+    ids = ids.withColumn("bucket", bucket)
+    sizes = ids.groupBy("bucket").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.row_number().over(Window.partitionBy("bucket").orderBy("query_id"))
-    numbered = ids.withColumn("bucket", F.floor(F.col("query_id") / 65536)).withColumn("rn", within).join(before.select("bucket", "before"), "bucket")
+    numbered = ids.withColumn("rn", within).join(before.select("bucket", "before"), "bucket")
     return numbered.select("query_id", F.pmod(F.col("before") + F.col("rn"), F.lit(k)).cast("int").alias("fold"))
 
 
 def histogram(values: DataFrame, value: str, most: int) -> DataFrame:
     """(bucket, n, share): values above ``most`` fall into the bucket ``most``."""
-    from pyspark.sql import Window
-
     counted = values.select(F.least(F.col(value), F.lit(most)).cast("long").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     return counted.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 

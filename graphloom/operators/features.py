@@ -32,6 +32,13 @@ def instances(graphs: Graphs) -> DataFrame:
     return found.select("query_id", "node_a", "node_b", "rel", F.col("a.label").alias("label_a"), F.col("b.label").alias("label_b"), F.col("a.given").alias("given_a"), F.col("b.given").alias("given_b"))
 
 
+def known_relations(graphs: Graphs, model: Model) -> Graphs:
+    """The graphs without arcs of relations that no pair feature of the model has; their ends stay
+    nodes.  There are few relations, but their number isn't known, so Spark picks the join."""
+    known = model.pairs.select("rel").distinct()
+    return Graphs(graphs.nodes, graphs.arcs.join(known, "rel", "left_semi").select("query_id", "node_a", "node_b", "rel"), graphs.scopes, graphs.factors)
+
+
 def factor_instances(graphs: Graphs) -> DataFrame:
     """Factors all of whose nodes are nodes of the graph: (query_id, factor_id, members), members
     with node, label and given.  A node counts once in a factor."""

@@ -11,6 +11,7 @@ from graphloom.operators import evaluate as ev
 from graphloom.operators import features as ft
 from graphloom.operators import score as sc
 from graphloom.operators import search as se
+from graphloom.operators.lineage import cut
 from graphloom.schema import Graphs, Model
 
 RATES: dict[str, Callable[[float, int, float, float], float]] = {
@@ -84,7 +85,7 @@ def ssvm_step(graphs: Graphs, model: Model, rate: float, margin: float = 0.1, re
     then move weights by the features of gold less those of the prediction."""
     options = options or se.Options()
     packed = se.packed_model(model, None, options)
-    predicted = se.relational(graphs, model) if packed is None else se.search(graphs, packed, options, margin)
+    predicted = se.relational(graphs, model, options, margin=margin) if packed is None else se.search(graphs, packed, options, margin)
     predicted = predicted.persist()
     there = graphs.with_nodes(predicted)
     gradients = []
@@ -97,7 +98,6 @@ def ssvm_step(graphs: Graphs, model: Model, rate: float, margin: float = 0.1, re
 
 def settled(model: Model) -> Model:
     """The model with its lineage cut, so a long training stays a short plan."""
-    cut = lambda t: t.checkpoint()
     return Model(cut(model.pairs), cut(model.factors), model.label_freq)
 
 

@@ -91,20 +91,41 @@ def n_best(adj: DataFrame, groups: DataFrame, model: Model, n: int, valid: DataF
     return ranked if n < 0 else ranked.where(F.col("rank") <= n)
 
 
-def sweep(nodes: DataFrame, adj: DataFrame, groups: DataFrame, model: Model, beam: int = ft.BEAM, weight: str = "weight") -> DataFrame:
+def sweep(
+    nodes: DataFrame, adj: DataFrame, groups: DataFrame, model: Model, beam: int = ft.BEAM, weight: str = "weight", valid: DataFrame | None = None, scopes: DataFrame | None = None, penalty: DataFrame | None = None
+) -> DataFrame:
     """(query_id, node, label, score): one synchronous pass: each node to infer takes its best
     candidate, the present label winning ties, then the smaller label.
 
     All nodes move at once on their neighbours' present labels, so a pass is joins and a window and
-    needs no model in memory; it equals a sequential pass where neighbours are given.
+    needs no model in memory; it equals a sequential pass where neighbours are given.  With ``valid``
+    only labels in it are offered; with ``scopes`` no label that another node of the scope has, and of
+    nodes that choose one label the best scored takes it (then the smaller node) and the others stay;
+    ``penalty`` as in :func:`node_scores`.
     """
     present = nodes.where("not given and label is not null").select("query_id", "node", F.col("label").alias("cand"))
-    offered = candidates(adj, model.pairs, beam, weight).withColumn("kept", F.lit(0)).unionByName(present.withColumn("kept", F.lit(1)))
+    offered = candidates(adj, model.pairs, beam, weight)
+    if valid is not None:
+        offered = offered.join(valid.select(F.col("label").alias("cand")), "cand", "left_semi").select("query_id", "node", "cand")
+    if scopes is not None:
+        scopes = scopes.distinct()
+        held = scopes.join(nodes.where("label is not null").select("query_id", "node", F.col("label").alias("cand")), ["query_id", "node"]).withColumnRenamed("node", "holder")
+        blocked = offered.join(scopes, ["query_id", "node"]).join(held, ["query_id", "scope_id", "cand"]).where("holder <> node")
+        offered = offered.join(blocked.select("query_id", "node", "cand").distinct(), ["query_id", "node", "cand"], "left_anti")
+    offered = offered.withColumn("kept", F.lit(0)).unionByName(present.withColumn("kept", F.lit(1)))
     offered = offered.groupBy("query_id", "node", "cand").agg(F.max("kept").alias("kept"))
     scored = offered.join(scores_under(adj.where("not given"), groups, offered.drop("kept"), model, weight), ["query_id", "node", "cand"], "left")
     scored = scored.withColumn("score", F.coalesce("score", F.lit(0)))
+    if penalty is not None:
+        off = F.when(F.col("cand") == F.col("gold_label"), F.col("margin")).otherwise(F.lit(0.0))
+        scored = scored.join(penalty, ["query_id", "node"], "left").select("query_id", "node", "cand", "kept", (F.col("score") - off).alias("score"))
     best = F.row_number().over(Window.partitionBy("query_id", "node").orderBy(F.desc("score"), F.desc("kept"), F.asc("cand")))
-    return scored.withColumn("rn", best).where("rn = 1").select("query_id", "node", F.col("cand").alias("label"), "score")
+    chosen = scored.withColumn("rn", best).where("rn = 1").select("query_id", "node", F.col("cand").alias("label"), "score", "kept")
+    if scopes is not None:
+        turn = F.row_number().over(Window.partitionBy("query_id", "scope_id", "label").orderBy(F.desc("kept"), F.desc("score"), F.asc("node")))
+        late = chosen.join(scopes, ["query_id", "node"]).withColumn("turn", turn).where("turn > 1 and kept = 0").select("query_id", "node").distinct()
+        chosen = chosen.join(late, ["query_id", "node"], "left_anti")
+    return chosen.select("query_id", "node", "label", "score")
 
 
 def degrees(adj: DataFrame) -> DataFrame:

@@ -53,10 +53,11 @@ def rare_label_collapse(spark, d):
 
 
 def unknown_labels(spark, d):
-    """Nodes of odd orders under the label dictionary of even ones."""
+    """Nodes to infer under the dictionary of labels that stand in more orders than the median label."""
     g = co.parts_graph(spark, d)
-    freq = ft.label_frequency(g.nodes.where("query_id % 4 = 0"))
-    return ft.replace_unknown(g.nodes.where("not given and query_id % 2 = 1"), freq.where("n_queries > 1"), "<unknown>").groupBy("label").agg(F.count("*").alias("n"))
+    freq = ft.label_frequency(g.nodes)
+    least = int(freq.agg(F.percentile("n_queries", 0.5)).first()[0] or 0)
+    return ft.replace_unknown(g.nodes.where("not given"), freq.where(F.col("n_queries") > least), "<unknown>").groupBy("label").agg(F.count("*").alias("n"))
 
 
 def valid_labels(spark, d):
@@ -112,8 +113,42 @@ def node_degree(spark, d):
 
 
 def arc_pass_eligible(spark, d):
-    found = ft.instances(co.session_graph(spark, d))
-    return sc.arc_pass_eligible(found, sc.degrees(sc.adjacency(found)))
+    """Arcs of orders whose ends have at most five distinct arcs."""
+    _, found = _orders(spark, d)
+    return sc.arc_pass_eligible(found, sc.degrees(sc.adjacency(found)), 5)
+
+
+def known_relation_degree(spark, d):
+    """Degrees in sessions under a model of arcs between given nodes, which knows no hub arcs."""
+    g = co.session_graph(spark, d)
+    pairs = ft.pair_counts(ft.instances(g).where("given_a and given_b")).withColumnRenamed("n", "weight")
+    model = Model(pairs, pairs.where("false"), ft.label_frequency(g.nodes))
+    return sc.degrees(sc.adjacency(ft.instances(ft.known_relations(g, model))))
+
+
+def train_pl(spark, d):
+    """Weights after two pseudo-likelihood passes whose rate falls with the root of the pass."""
+    g, _, model = _pl(spark, d)
+    rate = 0.01 / max(1, g.nodes.select("query_id").distinct().count())
+    return le.train_pl(g, model, 2, rate, 0.0, "prop_sqrt_pass").pairs.select("label_a", "label_b", "rel", F.round("weight", 6).alias("weight"))
+
+
+def train_ssvm(spark, d):
+    """The log of three max-margin passes over the dialogs."""
+    g = co.dialog_graph(spark, d)
+    _, log = le.train_ssvm(g, le.initial_weights(ft.count_model(g)), passes=3)
+    return spark.createDataFrame([(x["pass"], x["rate"], x["correct"], x["incorrect"]) for x in log], "pass int, rate double, correct long, incorrect long")
+
+
+def train_pl_ssvm(spark, d):
+    """Weights of a pseudo-likelihood pass and two max-margin passes over the dialogs."""
+    g = co.dialog_graph(spark, d)
+    return le.train_pl_ssvm(g, le.initial_weights(ft.count_model(g)), pl_passes=1, passes=2)[0].pairs
+
+
+def cross_validation(spark, d):
+    """Pooled statistics of three folds of dialogs, each predicted under the counts of the others."""
+    return le.cross_validate(co.dialog_graph(spark, d), 3, lambda graphs, model: ft.count_model(graphs))
 
 
 def histogram_degree(spark, d):
@@ -253,7 +288,7 @@ def rpc_dispatch(spark, d):
     graph = F.lit('{"query":[{"a":0,"b":1,"f2":"r"}],"assign":[{"v":0,"inf":"x"},{"v":1,"giv":"y"}]')
     params = F.concat(graph, F.when(F.col("event_id") % 5 != 0, F.lit(',"n":3')).otherwise(""), F.lit("}"))
     body = F.when(F.col("event_id") % 7 == 0, F.lit("{broken")).otherwise(F.concat(F.lit('{"jsonrpc":"2.0","method":"'), method, F.lit('","params":'), params, F.lit(',"id":"'), F.col("event_id").cast("string"), F.lit('"}')))
-    seen = service.envelopes(e.select(F.col("event_id").alias("request_id"), body.alias("body")))
+    seen = service.envelopes(e.select(F.col("event_id").alias("request_id"), body.alias("body"))).drop("part")
     return seen.select("request_id", "id", "method", F.coalesce("code", F.lit(0)).cast("long").alias("code"))
 
 
@@ -265,8 +300,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         pair_feature_counts, factor_feature_counts, label_frequency, rare_label_collapse, unknown_labels, valid_labels, dictionary, factor_candidates, total_score, node_score, pair_score, nbest, nbest_valid,
-        node_degree, arc_pass_eligible, histogram_degree, scope_conflicts, unique_conflict_node, confusion_stats, showgraph_nodes, showgraph_edges, model_top_labels, kfold_assignment, pl_partition_function,
-        pl_gradient_pass1, pl_weights_after_pass1, one_sweep_argmax, precision_stats, label_error_report, map_inference, map_inference_scopes, eval_error_stats, ssvm_pass, bp_inference, json_round_trip,
+        node_degree, known_relation_degree, arc_pass_eligible, histogram_degree, scope_conflicts, unique_conflict_node, confusion_stats, showgraph_nodes, showgraph_edges, model_top_labels, kfold_assignment, pl_partition_function,
+        pl_gradient_pass1, pl_weights_after_pass1, one_sweep_argmax, precision_stats, label_error_report, map_inference, map_inference_scopes, eval_error_stats, ssvm_pass, train_pl, train_ssvm, train_pl_ssvm, cross_validation, bp_inference, json_round_trip,
         string_functions, rpc_dispatch,
     )
 }

@@ -86,6 +86,28 @@ def gradient(rate: str) -> str:
   UNION ALL SELECT label_a, label_b, rel, n * ({rate} * 16) FROM feat) GROUP BY ALL)"""
 
 
+def pl_weights(weights: str, rate: str, made: str) -> str:
+    """CTEs of a pseudo-likelihood pass: from the pair features in ``weights`` to those in ``made``.  No
+    context has more labels than the beam, so which are candidates doesn't depend on the weights."""
+    scored = f"""SELECT k.query_id, k.node, k.cand, sum(coalesce(f.w, 0)) AS score FROM cg k JOIN adj j ON k.query_id = j.query_id AND k.node = j.node
+      LEFT JOIN {weights} f ON f.rel = j.rel AND f.label_a = CASE WHEN j.side = 'a' THEN k.cand ELSE j.olabel END AND f.label_b = CASE WHEN j.side = 'a' THEN j.olabel ELSE k.cand END GROUP BY ALL"""
+    return f"""sc{made} AS ({scored}),
+ex{made} AS (SELECT c.query_id, c.node, c.cand, times * exp(coalesce(s.score, 0) - max(coalesce(s.score, 0)) OVER (PARTITION BY c.query_id, c.node)) AS e FROM cg c LEFT JOIN sc{made} s USING (query_id, node, cand)),
+pr{made} AS MATERIALIZED (SELECT *, e / sum(e) OVER (PARTITION BY query_id, node) AS p FROM ex{made}),
+gr{made} AS (SELECT label_a, label_b, rel, sum(g) AS g FROM (
+  SELECT CASE WHEN j.side = 'a' THEN k.cand ELSE j.olabel END AS label_a, CASE WHEN j.side = 'a' THEN j.olabel ELSE k.cand END AS label_b, j.rel, -{rate} * k.p AS g
+    FROM pr{made} k JOIN adj j ON k.query_id = j.query_id AND k.node = j.node
+  UNION ALL SELECT label_a, label_b, rel, n * ({rate} * 16) FROM feat) GROUP BY ALL),
+{made} AS MATERIALIZED (SELECT label_a, label_b, rel, least(greatest(f.w + CASE WHEN abs(coalesce(g, 0)) > 1e-9 THEN g ELSE 0 END, 0), 0.5) AS w FROM {weights} f LEFT JOIN gr{made} USING (label_a, label_b, rel))"""
+
+
+START = "(SELECT CAST(0.01 AS DOUBLE) / count(DISTINCT query_id) FROM nodes)"
+TRAIN_PL = f"""WITH {ORDERS}, {candidates(16)},
+cg AS MATERIALIZED (SELECT query_id, node, cand, count(*) AS times FROM (SELECT * FROM cand UNION ALL SELECT query_id, node, label FROM nodes WHERE NOT given) GROUP BY ALL),
+w0 AS (SELECT label_a, label_b, rel, CAST(0.25 AS DOUBLE) AS w FROM feat),
+{pl_weights("w0", START, "w1")}, {pl_weights("w1", f"({START} / sqrt(2))", "w2")} SELECT label_a, label_b, rel, round(w, 6) AS weight FROM w2"""
+
+
 def escaped(text: str) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'" if s not in "\n\r\t" else f"chr({ord(s)})"
     for c, e in ESCAPES.items():
@@ -100,8 +122,8 @@ SQL: dict[str, str] = {
     "rare_label_collapse": f"""WITH {ORDERS}, cut AS (SELECT floor(quantile_cont(n_queries, 0.5)) AS c FROM freq), known AS (SELECT label FROM freq, cut WHERE n_queries >= c),
         m AS (SELECT CASE WHEN label_a IN (SELECT label FROM known) THEN label_a ELSE '<unknown>' END AS label_a, CASE WHEN label_b IN (SELECT label FROM known) THEN label_b ELSE '<unknown>' END AS label_b, rel, n FROM feat)
         SELECT label_a, label_b, rel, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY ALL""",
-    "unknown_labels": f"""WITH {PARTS}, seen AS (SELECT label FROM nodes WHERE query_id % 4 = 0 GROUP BY label HAVING count(DISTINCT query_id) > 1)
-        SELECT CASE WHEN label IN (SELECT label FROM seen) THEN label ELSE '<unknown>' END AS label, count(*) AS n FROM nodes WHERE NOT given AND query_id % 2 = 1 GROUP BY 1""",
+    "unknown_labels": f"""WITH {PARTS}, freq AS (SELECT label, count(DISTINCT query_id) AS c FROM nodes GROUP BY label), seen AS (SELECT label FROM freq WHERE c > (SELECT floor(quantile_cont(c, 0.5)) FROM freq))
+        SELECT CASE WHEN label IN (SELECT label FROM seen) THEN label ELSE '<unknown>' END AS label, count(*) AS n FROM nodes WHERE NOT given GROUP BY 1""",
     "valid_labels": f"WITH {ORDERS} SELECT label, {VALID} AS valid FROM freq",
     "dictionary": f"WITH {ORDERS}, l AS (SELECT label FROM nodes UNION SELECT rel FROM arcs) SELECT label, row_number() OVER (ORDER BY label) - 1 AS id FROM l",
     "candidates_by_b": f"WITH {ORDERS}, {candidates(4)} SELECT * FROM ca WHERE rn <= 4",
@@ -116,8 +138,11 @@ SQL: dict[str, str] = {
     "nbest_valid": f"""WITH {ORDERS}, {candidates(64)}, ok AS (SELECT c.* FROM cand c JOIN freq f ON f.label = c.cand WHERE {VALID}), sc AS ({under("ok")})
         SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id, node ORDER BY score DESC, cand DESC) = 1""",
     "node_degree": f"WITH {SESSIONS} SELECT * FROM deg",
-    "arc_pass_eligible": f"""WITH {SESSIONS} SELECT i.query_id, CAST(node_a AS INT) AS node_a, CAST(node_b AS INT) AS node_b, rel FROM inst i JOIN deg x ON x.query_id = i.query_id AND x.node = node_a JOIN deg y ON y.query_id = i.query_id AND y.node = node_b
-        WHERE NOT given_a AND NOT given_b AND node_a <> node_b AND x.degree <= 32 AND y.degree <= 32""",
+    "arc_pass_eligible": f"""WITH {ORDERS}, deg AS MATERIALIZED (SELECT query_id, node, count(*) AS degree FROM adj GROUP BY ALL)
+        SELECT i.query_id, node_a, node_b, rel FROM inst i JOIN deg x ON x.query_id = i.query_id AND x.node = node_a JOIN deg y ON y.query_id = i.query_id AND y.node = node_b
+        WHERE NOT given_a AND NOT given_b AND node_a <> node_b AND x.degree <= 5 AND y.degree <= 5""",
+    "known_relation_degree": f"""WITH {SESSIONS}, rels AS (SELECT DISTINCT rel FROM inst WHERE given_a AND given_b)
+        SELECT query_id, CAST(node AS INT) AS node, count(*) AS degree FROM adj WHERE rel IN (SELECT rel FROM rels) GROUP BY 1, 2""",
     "histogram_degree": f"WITH {SESSIONS}, h AS (SELECT CAST(least(degree, 32) AS BIGINT) AS bucket, count(*) AS n FROM deg GROUP BY 1) SELECT bucket, n, round(n / sum(n) OVER (), 6) AS share FROM h",
     "scope_conflicts": f"WITH {LINES} SELECT DISTINCT x.query_id, 2 * x.k AS node, 2 * y.k AS other FROM lines x JOIN lines y ON x.query_id = y.query_id AND x.name = y.name AND x.k <> y.k",
     "unique_conflict_node": f"""WITH {LINES}, c AS (SELECT DISTINCT x.query_id, 2 * x.k AS node, 2 * y.k AS other FROM lines x JOIN lines y ON x.query_id = y.query_id AND x.name = y.name AND x.k <> y.k)
@@ -140,6 +165,7 @@ SQL: dict[str, str] = {
     "pl_gradient_pass1": f"WITH {PL}, {gradient('CAST(0.1 AS DOUBLE)')} SELECT label_a, label_b, rel, round(g, 4) AS g FROM grad",
     "pl_weights_after_pass1": f"""WITH {PL}, {gradient("(SELECT CAST(0.01 AS DOUBLE) / count(DISTINCT query_id) FROM nodes)")}
         SELECT label_a, label_b, rel, round(least(greatest(0.25 + CASE WHEN abs(coalesce(g, 0)) > 1e-9 THEN g ELSE 0 END, 0), 0.5), 6) AS weight FROM feat LEFT JOIN grad USING (label_a, label_b, rel)""",
+    "train_pl": TRAIN_PL,
     "one_sweep_argmax": f"WITH {SWEEP} SELECT * FROM best",
     "precision_stats": f"""WITH {SWEEP}, c AS (SELECT count(*) FILTER (WHERE expected = predicted) AS correct, count(*) FILTER (WHERE expected IS DISTINCT FROM predicted) AS incorrect, count(predicted) AS known FROM cmp)
         SELECT correct, incorrect, known, round(incorrect / (correct + incorrect), 6) AS error_rate, round(known / (correct + incorrect), 6) AS recall FROM c""",

@@ -13,35 +13,49 @@ from graphloom.schema import Model
 from graphloom.sources import json_graphs as jg
 
 ENVELOPE = "jsonrpc string, method string, params string, id string"
+PARAMS = {"query": "ARRAY", "assign": "ARRAY", "n": "BIGINT", "infer": "BOOLEAN", "version": "STRING"}  #: types that a parameter may have
 METHODS = ("infer", "nbest", "showgraph")  # fixed values: method names and error codes
 ERRORS = {"parse": -32700, "request": -32600, "method": -32601, "params": -32602, "version": -31001}
 
 
 def envelopes(requests: DataFrame, version: str | None = None) -> DataFrame:
-    """(request_id, id, method, params, code): each request with the code of its error, or null.
+    """(request_id, part, id, method, params, code): each call with the code of its error, or null.
 
-    ``requests`` has request_id and body.  A request that isn't JSON, has no method, names an
-    unknown one, lacks parameters or a graph in them, or comes from another version is an error.
+    ``requests`` has request_id and body, a call or an array of calls; ``part`` is a call's place in
+    the array (null: no array; an empty array is one bad call).  A call that isn't JSON, isn't an
+    object of protocol 2.0 with a method, names an unknown one, lacks parameters or a graph in them,
+    has a parameter of another type, or comes from another version is an error.
     """
-    read = F.from_json("body", ENVELOPE)
-    rows = requests.select("request_id", F.try_parse_json("body").isNotNull().alias("json"), read.alias("e"), F.from_json(F.get_json_object("body", "$.params"), jg.SCHEMA).alias("p"))
+    json = F.try_parse_json("body")
+    many = F.from_json("body", "array<string>")
+    calls = requests.select("request_id", "body", F.coalesce(F.schema_of_variant(json), F.lit("")).alias("kind"), json.isNotNull().alias("json"))
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("part"), F.col("body").alias("call")))
+    each = F.transform(many, lambda c, i: F.struct(i.cast("int").alias("part"), c.alias("call")))
+    is_array = F.col("kind").startswith("ARRAY") & (F.size(many) > 0)
+    calls = calls.select("request_id", "json", F.explode(F.when(is_array, each).otherwise(whole)).alias("x")).select("request_id", "json", "x.*")
+    params = F.get_json_object("call", "$.params")
+    rows = calls.select("request_id", "part", "json", F.from_json("call", ENVELOPE).alias("e"), F.from_json(params, jg.SCHEMA).alias("p"), F.try_parse_json("call").alias("v"))
+    typed = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get("v", f"$.params.{name}", "variant")), F.lit("VOID"))
+    wrong = [~(typed(name).startswith(kind) | (typed(name) == "VOID")) for name, kind in PARAMS.items()]
+    object_ = F.schema_of_variant("v").startswith("OBJECT")
     code = (
         F.when(~F.col("json"), F.lit(ERRORS["parse"]))
-        .when(F.col("e.method").isNull(), F.lit(ERRORS["request"]))
+        .when(~F.coalesce(object_, F.lit(False)) | F.col("e.method").isNull() | ~F.coalesce(F.col("e.jsonrpc") == "2.0", F.lit(False)), F.lit(ERRORS["request"]))
         .when(~F.col("e.method").isin(*METHODS), F.lit(ERRORS["method"]))
-        .when(F.col("p.query").isNull() | F.col("p.assign").isNull() | ((F.col("e.method") == "nbest") & F.col("p.n").isNull()), F.lit(ERRORS["params"]))
+        .when(F.col("p.query").isNull() | F.col("p.assign").isNull() | ((F.col("e.method") == "nbest") & F.col("p.n").isNull()) | F.greatest(*wrong), F.lit(ERRORS["params"]))
     )
     if version is not None:
         code = code.when(~F.col("p.version").eqNullSafe(version), F.lit(ERRORS["version"]))
-    return rows.select("request_id", F.col("e.id").alias("id"), F.col("e.method").alias("method"), F.col("p").alias("params"), code.alias("code"))
+    return rows.select("request_id", "part", F.col("e.id").alias("id"), F.col("e.method").alias("method"), F.col("p").alias("params"), code.alias("code"))
 
 
 def respond(requests: DataFrame, model: Model, version: str | None = None, options: se.Options | None = None) -> DataFrame:
-    """(request_id, response): JSON-RPC 2.0 replies; requests without an id are notifications and get none."""
-    seen = envelopes(requests, version)
+    """(request_id, response): JSON-RPC 2.0 replies, an array of them for an array of calls; calls without
+    an id are notifications and get none."""
+    seen = envelopes(requests, version).withColumn("query_id", F.xxhash64("request_id", F.coalesce("part", F.lit(-1))))
     good = seen.where("code is null")
-    asked = good.select(F.col("request_id").alias("query_id"), "method", "params.*")
-    graphs = jg.tables(asked.select("query_id", "query", "assign"))
+    asked = good.select("query_id", "method", "params.*")
+    graphs = ft.known_relations(jg.tables(asked.select("query_id", "query", "assign")), model)
     start = asked.select("query_id", "method", F.coalesce("infer", F.col("method") == "infer").alias("infer"), "n")
     solved = se.infer(graphs.only(start.where("infer").select("query_id")), model, options)
     kept = graphs.nodes.join(start.where("infer").select("query_id"), "query_id", "left_anti")
@@ -55,7 +69,10 @@ def respond(requests: DataFrame, model: Model, version: str | None = None, optio
     found = ft.instances(g2)
     shown = explain.graph_response(explain.graph_nodes(g2.nodes, sc.degrees(sc.adjacency(found))), explain.graph_edges(found, sc.pair_scores(found, model.pairs)))
     replies = replies.unionByName(explain.nbest_response(best)).unionByName(shown)
-    joined = seen.join(replies.withColumnRenamed("query_id", "request_id"), "request_id", "left")
+    joined = seen.join(replies, "query_id", "left")
     result = F.concat(F.lit('{"jsonrpc":"2.0","result":'), F.coalesce("response", F.lit("[]")), F.lit(',"id":'), F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2), F.lit("}"))
     error = F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.struct(F.col("code").alias("code")).alias("error"), F.col("id")))
-    return joined.where("id is not null or code is not null").select("request_id", F.when(F.col("code").isNull(), result).otherwise(error).alias("response"))
+    said = joined.where("id is not null or code is not null").select("request_id", "part", F.when(F.col("code").isNull(), result).otherwise(error).alias("response"))
+    one = said.where("part is null").select("request_id", "response")
+    many = said.where("part is not null").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("part", "response"))).alias("all"))
+    return one.unionByName(many.select("request_id", F.concat(F.lit("["), F.array_join("all.response", ","), F.lit("]")).alias("response")))

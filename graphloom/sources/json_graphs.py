@@ -11,17 +11,17 @@ SCHEMA = "query array<struct<a:string,b:string,f2:string,cn:string,n:array<strin
 
 
 def read_lines(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
-    """(value) of non-empty lines, or of whole files; compressed files by their ending."""
-    return spark.read.text(path, wholetext=whole_file).where("value <> ''")
+    """(query_id, value) of non-empty lines, or of whole files; compressed files by their ending.
 
+    query_id tells the records of one read apart: it is a record's place in the files' partitions, so
+    equal lines are different records.
+    """
+    return spark.read.text(path, wholetext=whole_file).where("value <> ''").select(F.monotonically_increasing_id().alias("query_id"), "value")
 
-def parse(lines: DataFrame, value: str = "value", query_id: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(queries, rejected): parsed graphs with their query_id, and the lines that aren't graphs.
 
-    Without a column for it, query_id is a hash of the line, so equal lines share one.
-    """
-    key = F.col(query_id).cast("long") if query_id else F.xxhash64(value)
-    parsed = lines.select(key.alias("query_id"), F.col(value).alias("line"), F.from_json(value, SCHEMA).alias("j"))
+def parse(lines: DataFrame, value: str = "value", query_id: str = "query_id") -> tuple[DataFrame, DataFrame]:
+    """(queries, rejected): parsed graphs with their query_id, and the lines that aren't graphs."""
+    parsed = lines.select(F.col(query_id).cast("long").alias("query_id"), F.col(value).alias("line"), F.from_json(value, SCHEMA).alias("j"))
     good = F.col("j.query").isNotNull() & F.col("j.assign").isNotNull()
     return parsed.where(good).select("query_id", "j.*"), parsed.where(~good | F.col("j").isNull()).select("query_id", "line")
 

@@ -11,16 +11,20 @@ from graphloom.schema import Model
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """(request_id, body) of request lines in files that appear under ``path``."""
-    lines = spark.readStream.text(path).where("value <> ''")
-    return lines.select(F.xxhash64("value").alias("request_id"), F.col("value").alias("body"))
+    """(body) of request lines in files that appear under ``path``."""
+    return spark.readStream.text(path).where("value <> ''").select(F.col("value").alias("body"))
 
 
 def serve(requests: DataFrame, model: Model, out: str, checkpoint: str, version: str | None = None) -> StreamingQuery:
-    """Answer every micro-batch into ``out``.  A batch that is run again after a failure overwrites its
-    own folder, so replies come once."""
+    """Answer every micro-batch into ``out/replies``.  Its requests are logged with a number each in
+    ``out/requests`` first, so equal requests are answered one by one and every part of the answer sees
+    the same numbers.  A batch that is run again after a failure overwrites its own folders, so
+    replies come once."""
 
     def answer(batch: DataFrame, number: int) -> None:
-        service.respond(batch.dropDuplicates(["request_id"]), model, version).write.mode("overwrite").json(f"{out}/batch={number}")
+        log = f"{out}/requests/batch={number}"
+        batch.select(F.monotonically_increasing_id().alias("request_id"), "body").write.mode("overwrite").parquet(log)
+        asked = batch.sparkSession.read.schema("request_id long, body string").parquet(log)
+        service.respond(asked, model, version).write.mode("overwrite").json(f"{out}/replies/batch={number}")
 
     return requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -90,9 +90,27 @@ def test_service(spark, sf):
     assert late.code == -31001
 
 
+def test_service_answers_arrays_and_checks_types(spark, sf):
+    model = ft.count_model(co.dialog_graph(spark, sf))
+    calls = [json.loads(body) for i, body in requests() if i in (1, 3, 4, 7)]
+    bad = [{**calls[0], "params": {**calls[0]["params"], "n": "x"}}, {**calls[0], "jsonrpc": "1.0"}, 5, {**calls[0], "params": {**calls[0]["params"], "infer": 1}}]
+    asked = spark.createDataFrame([(1, json.dumps(calls)), (2, json.dumps(bad)), (3, "[]"), (4, json.dumps([calls[3]]))], "request_id long, body string")
+    got = {r.request_id: json.loads(r.response) for r in service.respond(asked, model).collect()}
+    assert [x.get("id") for x in got[1]] == ["1", "3", "4"] and "nodes" in got[1][1]["result"] and got[1][2]["error"]["code"] == -32601
+    assert [x["error"]["code"] for x in got[2]] == [-32602, -32600, -32600, -32602]
+    assert got[3]["error"]["code"] == -32600 and 4 not in got
+
+
+def test_equal_lines_are_different_records(spark, tmp_path):
+    line = json.dumps({"query": [{"a": 0, "b": 1, "f2": "r"}], "assign": [{"v": 0, "inf": "p"}, {"v": 1, "giv": "q"}]})
+    (tmp_path / "g.json").write_text("\n".join([line] * 3))
+    g = jg.tables(jg.parse(jg.read_lines(spark, str(tmp_path / "g.json")))[0])
+    assert g.arcs.count() == 3 and {r.n_queries for r in ft.label_frequency(g.nodes).collect()} == {3}
+
+
 def test_stream(spark, sf, tmp_path):
     model = ft.count_model(co.dialog_graph(spark, sf))
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "r.txt").write_text("\n".join(body for _, body in requests()[:4]))
+    (tmp_path / "in" / "r.txt").write_text("\n".join([body for _, body in requests()[:4]] + [requests()[0][1]]))  # one of them twice
     serve.serve(serve.read_requests(spark, str(tmp_path / "in")), model, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
-    assert spark.read.json(str(tmp_path / "out")).count() == 4
+    assert spark.read.json(str(tmp_path / "out" / "replies")).count() == 5
