@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm.store import small_batches
 
@@ -90,8 +93,59 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every text, a tenth of them with words made periodic by :func:`planted_order`."""
+    from graphloom.llm.periodic_runs import periodic_runs
+
+    found = periodic_runs(_read(spark, sf_dir, "documents"), order=planted_order)
+    higher = "x.length * best.period > best.length * x.period"
+    best = F.expr(f"aggregate(slice(runs, 2, size(runs)), runs[0], (best, x) -> if({higher}, x, best))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, chr(10))), '')")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.when(F.size("runs") > 0, best).alias("best"), listed.alias("listed"), "collapsed").select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def planted_order(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The word numbers that the contract of op11 reads a document of n words as; None: as it is."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i >= a, a + (i - a) % p, i)
+
+
+def op12_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids, written to token frames and read back."""
+    import public_tokenizers
+
+    from graphloom.llm.store import table_path
+    from graphloom.llm.token_frames import read_tokens, write_tokens
+
+    docs, path = _read(spark, sf_dir, "documents"), public_tokenizers.path
+    files = write_tokens(docs, table_path(spark, "tokens"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+    return read_tokens(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.hard_negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_read(spark, sf_dir, "embeddings"), every=50, label=moved)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    own = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
     return own | {"rollup_words_and_bytes": rollup_words_and_bytes}
 
 
