@@ -38,6 +38,7 @@ from graphloom.llm.store import materialise
 FRAME = 65_536  #: ids of a data frame
 DIRECTORY = 16_384  #: documents of a directory frame
 UNIT = 64  #: data frames that a reading task takes at a time
+UNITS = 16  #: units of a reading task, where there are many
 BATCH_IDS = 1_000_000  #: ids of a batch that a reading task sends on, unless one document has more
 LEVEL = 3
 # fixed values of the public zstandard seekable format
@@ -50,8 +51,8 @@ FILES = "file string, first_doc long, first_hash long, last_doc long, n_docs lon
 class FrameWriter:
     """Writes documents to a binary sink, in the order of the calls of :meth:`add`."""
 
-    def __init__(self, sink, width: int):
-        self.sink, self.kind, self.compressor = sink, f"<u{width}", zstandard.ZstdCompressor(level=LEVEL)
+    def __init__(self, sink, width: int, per_frame: int = FRAME):
+        self.sink, self.kind, self.per_frame, self.compressor = sink, f"<u{width}", per_frame, zstandard.ZstdCompressor(level=LEVEL)
         self.entries: list[tuple[int, int, int]] = []
         self.held: list[np.ndarray] = []
         self.waiting = self.tokens = 0
@@ -69,11 +70,11 @@ class FrameWriter:
         self.held.append(ids.astype(self.kind))
         self.waiting += len(ids)
         self.tokens += len(ids)
-        if self.waiting >= FRAME:
+        if self.waiting >= self.per_frame:
             rest = np.concatenate(self.held)
-            full = len(rest) // FRAME * FRAME
-            for at in range(0, full, FRAME):
-                self._frame(rest[at : at + FRAME].tobytes())
+            full = len(rest) // self.per_frame * self.per_frame
+            for at in range(0, full, self.per_frame):
+                self._frame(rest[at : at + self.per_frame].tobytes())
             self.held, self.waiting = [rest[full:].copy()], len(rest) - full
 
     def close(self) -> int:
@@ -85,7 +86,7 @@ class FrameWriter:
             part = slice(at, at + DIRECTORY)
             first.append((int(starts[at]), self.ids[at], self.nulls[at]))
             self._frame(b"".join(np.frombuffer(x[part], x.typecode).astype(k).tobytes() for x, k in ((self.ids, "<i8"), (self.sizes, "<i8"), (self.nulls, "i1"))))
-        root = ROOT.pack(NAME, int(self.kind[2:]), FRAME, frames, len(self.ids), self.tokens, len(first))
+        root = ROOT.pack(NAME, int(self.kind[2:]), self.per_frame, frames, len(self.ids), self.tokens, len(first))
         self._frame(root + b"".join(struct.pack("<qqb", *x) for x in first))
         table = b"".join(struct.pack("<III", *e) for e in self.entries) + struct.pack("<IBI", len(self.entries), CHECKSUMS, SEEKABLE_MAGIC)
         self.sink.write(struct.pack("<II", SKIPPABLE_MAGIC, len(table)) + table)
@@ -166,7 +167,7 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, ranks: str | None = None, end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, ranks: str | None = None, end_id: int = END_ID, per_frame: int = FRAME) -> DataFrame:
     """Write the ids of every row of ``docs`` to files in the folder ``path``; one row for each file:
     file, first_doc, first_hash, last_doc, n_docs, n_tokens, n_frames.
 
@@ -192,7 +193,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, ranks: str | None =
                     system, place = _filesystem(file)
                     system.create_dir(place.rpartition("/")[0], recursive=True)
                     sink = system.open_output_stream(place, compression=None)  # by its name it would be compressed again
-                    writer, first = FrameWriter(sink, width), (doc.as_py(), h.as_py())
+                    writer, first = FrameWriter(sink, width, per_frame), (doc.as_py(), h.as_py())
                 last = doc.as_py()
                 writer.add(last, np.append(encode(text.as_py() or ""), np.uint32(end_id)))
         if writer is not None:
@@ -260,14 +261,19 @@ def read_tokens(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple[int | None, int, np.ndarray]]:
             for row, reader in _readers(row for batch in batches for row in batch.to_pylist()):
-                for doc, at, ids in reader.between(row["unit"] * UNIT * FRAME, (row["unit"] + 1) * UNIT * FRAME):
+                ids_a_unit = UNIT * reader.per_frame
+                for doc, at, ids in reader.between(row["unit"] * ids_a_unit, (row["unit"] + 1) * ids_a_unit):
                     yield doc, row["file_start"] + at, ids
 
         yield from _documents(found())
 
+    files = placed(files)
     last = F.floor((F.col("n_frames") - 1) / UNIT)
-    units = placed(files).select("file", "file_start", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("unit"))
-    return units.repartition("file", "unit").sortWithinPartitions("file", "unit").mapInArrow(read, DOCUMENTS)
+    units = files.select("file", "file_start", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("unit"))
+    # rows are few and their work is large: the number of tasks follows the units, not the bytes of these rows
+    count = files.agg(F.sum(last + 1)).first()[0] or 1
+    tasks = max(-(-count // UNITS), min(count, 2 * files.sparkSession.sparkContext.defaultParallelism))
+    return units.repartition(tasks, "file", "unit").sortWithinPartitions("file", "unit").mapInArrow(read, DOCUMENTS)
 
 
 def find_tokens(files: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -284,5 +290,6 @@ def find_tokens(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
     ids = wanted.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     inside = (F.col("doc_id") >= F.coalesce("first_doc", F.lit(-(1 << 63)))) & (F.col("doc_id") <= F.col("last_doc"))
-    asked = ids.join(F.broadcast(placed(files)), inside).select("file", "file_start", "doc_id")  # one row a file
-    return asked.repartition("file").sortWithinPartitions("file", "doc_id").mapInArrow(read, DOCUMENTS)
+    files = placed(files)
+    asked = ids.join(F.broadcast(files), inside).select("file", "file_start", "doc_id")  # one row a file
+    return asked.repartition(max(1, files.count()), "file").sortWithinPartitions("file", "doc_id").mapInArrow(read, DOCUMENTS)

@@ -14,4 +14,4 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 
 def test_every_operator_is_registered(spark, sf):
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 14))
