@@ -4,10 +4,12 @@ Rare-first prefix filtering with length, positional and suffix filters (after Ch
 and Xiao et al., "Efficient Similarity Joins for Near Duplicate Detection", 2008):
 
 1. Documents with equal shingle sets are one node (a 64-bit key of the set).
-2. Shingles are ordered rare first: by how often they occur in the corpus, then by hash.  Counts of
-   all documents are gathered a task at a time and summed; only the ``ORDER_TOP`` most frequent are
-   told apart, the rest count as rare.  Any fixed order gives the same links, so this bound only
-   affects speed.
+2. Shingles are ordered rare first: those that stand once in the corpus, then those that stand more often,
+   then the ``ORDER_TOP`` most frequent by their counts; ties by hash.  Which stand once is told by a
+   table of one bit for each of up to 2**CELL_BITS ranges of hashes: it is set where the corpus has two
+   shingles or more, so a lone shingle may count as a common one but not the other way round.  A
+   document with enough shingles of its own thus has no other shingle in its prefix.  Any fixed order gives
+   the same links, so these bounds only affect speed.
 3. A node is indexed under its prefix: two sets with J >= t share a shingle in their first
    n - ceil(t n) + 1 shingles.  Shingles in one prefix only go before any row is shuffled.
 4. Star rounds: in each bucket of a prefix shingle every member is paired with one leader only, so a
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,9 @@ from graphloom.llm.store import drop, materialise
 ORDER_TOP = 100_000  #: shingles whose frequency the order knows (12 bytes each on every executor)
 LOCAL_TOP = 20_000  #: most frequent shingles that a task reports for each LOCAL_SPAN shingles it saw
 LOCAL_SPAN = 2_000_000
+CELL_BITS = 29  #: cells that tell lone shingles from others, at most: 64 MB on every executor
+CELL_RANGES = 64  #: in which they are counted
+CELLS_EACH = 8  #: cells for each shingle that tasks saw, where CELL_BITS allows it
 BUCKETS = 64  #: of the suffix filter
 KEPT = 4  #: of these ranges, whose hashes a profile keeps: a sixteenth of the set
 SIGNATURE = 256  #: parities of other parts, as bits; 32 bytes that go with an entry in the residual round
@@ -68,60 +74,129 @@ def _nodes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of the corpus, sorted by hash, and their counts."""
+def _packed(cells: np.ndarray) -> bytes:
+    """Ascending numbers as compressed differences, byte by byte."""
+    steps = np.diff(cells, prepend=np.uint32(0)).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
+
+
+def _seen(docs: DataFrame, k: int) -> DataFrame:
+    """What tasks saw, a span of shingles at a time: rows (h, n) of the most frequent shingles, and rows
+    (r, twice, size, cells) of the cells of a range that the span hits once, or more often."""
+    width = 1 << CELL_BITS
+    names = ["h", "n", "r", "twice", "size", "cells"]
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        cell, first = np.unique((h >> np.uint64(64 - CELL_BITS)).astype(np.uint32), return_index=True)
+        often = np.add.reduceat(n, first) > 1
+        rows = []
+        for twice in (False, True):
+            some = cell[often == twice]
+            edges = np.searchsorted(some, np.arange(CELL_RANGES + 1) * (width // CELL_RANGES))
+            rows += [(r, twice, int(b - a), _packed(some[a:b] - np.uint32(r * (width // CELL_RANGES)))) for r, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+        h, n = h[n > 1], n[n > 1]
+        top = np.argsort(-n, kind="stable")[:LOCAL_TOP]
+        r, twice, size, cells = zip(*rows, strict=True)
+        none = lambda kind, count: pa.nulls(count, kind)
+        pad = lambda array, before, after: pa.concat_arrays([none(array.type, before), array, none(array.type, after)])
+        counts = [pad(pa.array(x), 0, len(rows)) for x in (h[top].view(np.int64), n[top])]
+        places = [pad(pa.array(x, t), len(top), 0) for x, t in ((r, pa.int32()), (twice, pa.bool_()), (size, pa.int64()), (cells, pa.binary()))]
+        return pa.RecordBatch.from_arrays([*counts, *places], names)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            h, n = h[n > 1], n[n > 1]
-            top = np.argsort(-n, kind="stable")[:LOCAL_TOP]
-            return pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(n[top])], ["h", "n"])
-
         for batch in batches:
             for _, buf, offs in tn.slices(batch.column(0)):
                 start, end, bounds = tn.words(buf, offs)
                 held.append(tn.shingles(tn.word_hashes(buf, start, end), bounds, k)[1])
                 if sum(map(len, held)) >= LOCAL_SPAN:
-                    yield flush()
+                    yield flush(held)
                     held = []
-        if held:
-            yield flush()
+        if sum(map(len, held)):
+            yield flush(held)
+
+    return docs.select("text").mapInArrow(local, "h long, n long, r int, twice boolean, size long, cells binary")
+
 
-    counts = docs.select("text").mapInArrow(local, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+def _lone(seen: DataFrame) -> np.ndarray:
+    """One bit for each cell, set where the corpus has more than one shingle; as many cells as the number of
+    shingles calls for, so the driver gets 2**CELL_BITS bits at most."""
+    total = seen.agg(F.sum("size")).first()[0] or 0
+    bits = min(CELL_BITS, max(CELL_RANGES.bit_length() + 2, (CELLS_EACH * total).bit_length()))
+    fold = 1 << (CELL_BITS - bits)
+    width = (1 << CELL_BITS) // CELL_RANGES
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, last = None, None
+
+        def done() -> pa.RecordBatch:
+            more = count.reshape(-1, fold).sum(1) > 1
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([np.packbits(more, bitorder="little").tobytes()], pa.binary())], ["r", "bits"])
+
+        for batch in batches:
+            for r, twice, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != last:
+                    if count is not None:
+                        yield done()
+                    count, last = np.zeros(width, np.uint8), r
+                at = _unpacked(cells)
+                count[at] = 2 if twice else np.minimum(count[at] + 1, 2)
+        if count is not None:
+            yield done()
+
+    ranged = seen.where("r is not null").select("r", "twice", "cells").repartition("r").sortWithinPartitions("r")
+    out = np.zeros((1 << bits) // 8, np.uint8).reshape(CELL_RANGES, -1)
+    for row in ranged.mapInArrow(gather, "r int, bits binary").collect():  # CELL_RANGES rows
+        out[row.r] = np.frombuffer(row.bits, np.uint8)
+    return out.ravel()
+
+
+def _order(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent shingles of the corpus, sorted by hash, and their counts; the bits of :func:`_lone`."""
+    seen = materialise(_seen(docs, k), "seen")
+    counts = seen.where("h is not null").groupBy("h").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "h").limit(ORDER_TOP).toPandas()  # at most ORDER_TOP rows
     h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(h)
-    return h[order], n[order]
+    lone = _lone(seen)
+    drop(seen)
+    return h[order], n[order], lone
 
 
-def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
     """One row a document: size and key of its set, its prefix, its suffix histogram."""
     known = docs.sparkSession.sparkContext.broadcast(top)
     schema = "doc_id long, n long, node long, prefix array<long>, parts array<int>, kept array<long>, bits array<long>"
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, times = known.value
+        frequent, times, lone = known.value
+        cell = np.uint64(64 - (8 * len(lone)).bit_length() + 1)
         for batch in batches:
             for first, buf, offs in tn.slices(batch.column(1)):
                 rows, h = tn.shingle_sets(buf, offs, k)
                 count = len(offs) - 1
                 at = _at(rows, count)
                 n, nodes = np.diff(at), _nodes(h, at)
+                at_cell = (h >> cell).astype(np.int64)
+                often = ((lone[at_cell >> 3] >> (at_cell & 7).astype(np.uint8)) & 1).astype(np.int64)
                 if len(frequent):
                     place = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                    often = np.where(frequent[place] == h, times[place], 0)
-                    order = np.lexsort((often, rows))  # stable: ties stay in order of the hash
-                    h = h[order]
+                    often = np.where(frequent[place] == h, np.maximum(times[place], 1), often)
+                order = np.lexsort((often, rows))  # stable: ties stay in order of the hash
+                h = h[order]
                 keep = n - (percent * n + 99) // 100 + (n > 0)
                 early = np.arange(len(h)) - at[rows] < keep[rows]
-                cell = rows * BUCKETS + (h >> np.uint64(58)).astype(np.int64)
+                part = rows * BUCKETS + (h >> np.uint64(58)).astype(np.int64)
                 cell_of_bit = rows * SIGNATURE + ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIGNATURE.bit_length() + 1)).astype(np.int64)
                 odd = (np.bincount(cell_of_bit, minlength=count * SIGNATURE) & 1).astype(np.uint8)
                 bits = np.packbits(odd).view(np.int64)
-                histogram = np.bincount(cell, minlength=count * BUCKETS).astype(np.int32)
+                histogram = np.bincount(part, minlength=count * BUCKETS).astype(np.int32)
                 first_parts = h >> np.uint64(58) < KEPT
                 ends, kept_ends = np.zeros(count + 1, np.int32), np.zeros(count + 1, np.int32)
                 np.cumsum(keep, out=ends[1:])
@@ -230,7 +305,7 @@ class _Join:
 
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.docs, self.k, self.percent = docs, k, percent
-        self.profiles = materialise(_profiles(docs, k, percent, _frequent(docs, k)), "profiles")
+        self.profiles = materialise(_profiles(docs, k, percent, _order(docs, k)), "profiles")
         filled = self.profiles.where("n > 0 and doc_id is not null").select("doc_id", "node")
         self.owners = filled.distinct()
         self.copies = materialise(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "copies")
