@@ -10,6 +10,8 @@ Koslicki and Zabeti, "Improving MinHash via the containment index", 2019).
   its shingles, so it holds at least one of the m sketch values.  The search loses no item.
 * Sketch values are looked up among all shingles of each whole document; an item with a hit is a
   candidate and is verified by exact shingle containment.
+* An item of fewer than k words has shingles of its own length: one, its words, which is looked up among
+  all runs of so many words.  There is an index for each length, at most k.
 
 The items are the broadcast side.  Their number is not taken on trust: they are dealt into blocks of
 at most about ``BLOCK`` shingles (12 bytes each on an executor), and documents are scanned once a block.
@@ -36,23 +38,45 @@ def sketch_size(upper: int, percent: int) -> int:
     return upper - (percent * upper + 99) // 100 + 1
 
 
+def own_shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of each row, of k words or of all where a row has fewer."""
+    count, found = np.diff(bounds), []
+    for n in range(1, k + 1):
+        rows, h = tn.shingles(hashes, bounds, n)
+        held = count[rows] == n if n < k else count[rows] >= k
+        found.append((rows[held], h[held]))
+    rows, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((h, rows))
+    rows, h = rows[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
+    return rows[new], h[new]
+
+
 def _item_sets(items: DataFrame, k: int) -> DataFrame:
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, buf, offs in tn.slices(batch.column(1)):
-                rows, h = tn.shingle_sets(buf, offs, k)
+                start, end, bounds = tn.words(buf, offs)
+                rows, h = own_shingles(tn.word_hashes(buf, start, end), bounds, k)
                 ends = np.zeros(len(offs), np.int32)
                 np.cumsum(np.bincount(rows, minlength=len(offs) - 1), out=ends[1:])
+                lengths = np.minimum(np.diff(bounds), k).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(offs) - 1), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["item_id", "shingles"]
+                    [batch.column(0).slice(first, len(offs) - 1), pa.array(lengths), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["item_id", "words", "shingles"]
                 )
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(shingle, "item_id long, shingles array<long>").where("item_id is not null and size(shingles) > 0")
+    return rows.mapInArrow(shingle, "item_id long, words int, shingles array<long>").where("item_id is not null and size(shingles) > 0")
+
+
+def _indexes(block: list, percent: int) -> dict[int, dict]:
+    """The broadcast form of a block of items: an index for each length of their shingles."""
+    return {n: _index([r for r in block if r["words"] == n], percent) for n in sorted({r["words"] for r in block})}
 
 
 def _index(block: list, percent: int) -> dict:
-    """The broadcast form of a block of items: sorted sketch values with their items, item sets."""
+    """Sorted sketch values with their items, item sets."""
     ids = np.array([r["item_id"] for r in block], np.int64)
     sets = [np.array(r["shingles"], np.int64).view(np.uint64) for r in block]
     values, owner = [], []
@@ -66,37 +90,48 @@ def _index(block: list, percent: int) -> dict:
     return {"ids": ids, "sets": sets, "values": values[order], "owner": owner[order]}
 
 
-def _search(docs: DataFrame, index: dict, k: int, percent: int) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast(index)
+def _hits(index: dict, rows: np.ndarray, h: np.ndarray, likely: np.ndarray, count: int, percent: int) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item_id, n_shared, n_item) of items that rows of a slice contain, by their shingles (row, h)."""
+    sets, values, owner = (index[x] for x in ("sets", "values", "owner"))
+    hit = np.flatnonzero(likely[(h & np.uint64(len(likely) - 1)).astype(np.int64)])
+    left, right = np.searchsorted(values, h[hit]), np.searchsorted(values, h[hit], "right")
+    some = right > left
+    hit, left, right = hit[some], left[some], right[some]
+    if not len(hit):
+        return
+    pairs = np.unique(np.stack([np.repeat(rows[hit], right - left), np.concatenate([owner[a:b] for a, b in zip(left, right, strict=True)])]), axis=1)
+    at = np.searchsorted(rows, np.arange(count + 1))
+    for row in np.unique(pairs[0]).tolist():
+        own = np.unique(h[at[row] : at[row + 1]])
+        for i in pairs[1][pairs[0] == row].tolist():
+            place = np.minimum(np.searchsorted(own, sets[i]), len(own) - 1)
+            shared = int((own[place] == sets[i]).sum())
+            if 100 * shared >= percent * len(sets[i]):
+                yield row, int(index["ids"][i]), shared, len(sets[i])
+
+
+def _search(docs: DataFrame, indexes: dict[int, dict], percent: int) -> DataFrame:
+    known = docs.sparkSession.sparkContext.broadcast(indexes)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets, values, owner = (known.value[x] for x in ("ids", "sets", "values", "owner"))
-        low = np.uint64((1 << FILTER_BITS) - 1)
-        likely = np.zeros(1 << FILTER_BITS, bool)
-        likely[(values & low).astype(np.int64)] = True
+        likely = {}
+        for n, index in known.value.items():
+            likely[n] = np.zeros(1 << FILTER_BITS, bool)
+            likely[n][(index["values"] & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
         for batch in batches:
             for first, buf, offs in tn.slices(batch.column(1)):
                 start, end, bounds = tn.words(buf, offs)
-                rows, h = tn.shingles(tn.word_hashes(buf, start, end), bounds, k)
-                hit = np.flatnonzero(likely[(h & low).astype(np.int64)])
-                left, right = np.searchsorted(values, h[hit]), np.searchsorted(values, h[hit], "right")
-                some = right > left
-                hit, left, right = hit[some], left[some], right[some]
-                if not len(hit):
-                    continue
-                pairs = np.unique(np.stack([np.repeat(rows[hit], right - left), np.concatenate([owner[a:b] for a, b in zip(left, right, strict=True)])]), axis=1)
-                at = np.searchsorted(rows, np.arange(len(offs)))
-                out = []
-                for row in np.unique(pairs[0]).tolist():
-                    own = np.unique(h[at[row] : at[row + 1]])
-                    for i in pairs[1][pairs[0] == row].tolist():
-                        place = np.minimum(np.searchsorted(own, sets[i]), len(own) - 1)
-                        shared = int((own[place] == sets[i]).sum())
-                        if 100 * shared >= percent * len(sets[i]):
-                            out.append((first + row, int(ids[i]), shared, len(sets[i])))
+                hashes, out = tn.word_hashes(buf, start, end), []
+                for n, index in known.value.items():
+                    rows, h = tn.shingles(hashes, bounds, n)
+                    whole = np.diff(bounds)[rows] >= n  # a shorter text has no run of n words
+                    if not whole.all():
+                        rows, h = rows[whole], h[whole]
+                    out += [(first + row, *rest) for row, *rest in _hits(index, rows, h, likely[n], len(offs) - 1, percent)]
                 if out:
-                    at_row, item, shared, n = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at_row)), pa.array(item, pa.int64()), pa.array(shared, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "item_id", "n_shared", "n_item"])
+                    at_row, item, shared, n_item = zip(*out, strict=True)
+                    columns = [batch.column(0).take(pa.array(at_row)), *(pa.array(x, pa.int64()) for x in (item, shared, n_item))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "n_shared", "n_item"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(search, "doc_id long, item_id long, n_shared long, n_item long")
@@ -106,7 +141,8 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     """(doc_id, item_id, n_shared, n_item, containment): pairs of a document and a test item of whose
     distinct k-word shingles the document holds at least ``percent`` in a hundred.
 
-    Words and shingles as in :mod:`graphloom.llm.textnum`.  Null and empty texts on either side match
+    Words and shingles as in :mod:`graphloom.llm.textnum`; an item of fewer than k words is one shingle of
+    its own length, which every document with these words in a row holds.  Null and empty texts on either side match
     nothing; an item with a null id is left out, a document with a null doc_id is reported under null.
     Of repeated rows, or rows that share an id, a pair comes once, with its highest containment.
     Columns other than doc_id, item_id and text are ignored.  Empty tables give an empty result.
@@ -116,7 +152,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     found = None
     for b in range(blocks):
         part = sets.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()  # about `block` shingles
-        one = _search(docs, _index(part, percent), k, percent)
+        one = _search(docs, _indexes(part, percent), percent)
         found = one if found is None else found.unionByName(one)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.expr("n_shared / n_item").alias("containment"), "n_shared", "n_item")).alias("m"))
     return best.select("doc_id", "item_id", "m.n_shared", "m.n_item", "m.containment")

@@ -29,10 +29,10 @@ FROM s LEFT JOIN (SELECT doc_id, min(reached) AS c FROM r GROUP BY doc_id) m ON
 
 OP10 = f"""
 WITH i AS (SELECT item_id, {WORDS.format("coalesce(text, '')")} AS w FROM benchmark WHERE item_id IS NOT NULL),
-d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
-q AS MATERIALIZED (SELECT item_id, len(s) AS n, unnest(s) AS g FROM (SELECT item_id, {shingles("w", 5)} AS s FROM i)),
-x AS (SELECT doc_id, unnest({shingles("w", 5)}) AS g FROM d),
-c AS (SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_item FROM x JOIN q ON x.g = q.g GROUP BY doc_id, item_id)
+d AS MATERIALIZED (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+q AS MATERIALIZED (SELECT item_id, k, len(s) AS n, unnest(s) AS g FROM (SELECT item_id, least(5, len(w)) AS k, {shingles("w", 5)} AS s FROM i)),
+x AS (SELECT doc_id, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' ')))) AS g FROM d JOIN (SELECT DISTINCT k FROM q) ON len(w) >= k),
+c AS (SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_item FROM x JOIN q ON x.g = q.g AND x.k = q.k GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, CAST(n_shared AS BIGINT) AS n_shared, CAST(n_item AS BIGINT) AS n_item, n_shared / n_item AS containment FROM c WHERE 100 * n_shared >= 80 * n_item"""
 
 OP13 = """

@@ -393,7 +393,19 @@ def test_contained_items_equal_brute_force(spark, docs_of):
         part = part[: max(1, len(part) * int(rng.integers(60, 101)) // 100)]
         pairs.append((i, " ".join(w[:30] + part + w[30:])))
     table = spark.createDataFrame([(*x, "x") for x in [*items, (None, "a b"), (90, None), (91, "")]], "item_id long, text string, n string")
-    want = {(d, i, len(s & t), len(s)) for d, x in pairs for i, y in items for s, t in [(shingles(y, 5), shingles(x, 5))] if 100 * len(s & t) >= 80 * len(s)}
+    short = [(60 + i, " ".join(words(pairs[i][1])[7 : 8 + i])) for i in range(4)] + [(70, "v1 never v2"), (71, words(pairs[9][1])[0])]
+    table = table.unionByName(spark.createDataFrame([(*x, "x") for x in short], table.schema))
+    items += short
+    pairs += [(200, "v1"), (201, short[2][1]), (202, "")]
+    want = set()
+    for i, y in items:
+        k = min(5, len(words(y)))  # an item of fewer words is a run of its own length
+        s = shingles(y, k)
+        for d, x in pairs:
+            held = s & shingles(x, k) if len(words(x)) >= k else set()
+            if 100 * len(held) >= 80 * len(s):
+                want.add((d, i, len(held), len(s)))
+    assert {i for _, i, _, _ in want} >= {60, 61, 62, 63, 71}
     for block in (decontaminate.BLOCK, 100):
         got = decontaminate.contained_items(docs_of(pairs), table, 5, 80, block).collect()
         assert {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in got} == want and len(got) == len(want)

@@ -72,6 +72,19 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     assert set(five["doc_id"]) == set(after) and five.groupby("sequence_id")["length"].sum().max() <= 1024
 
 
+def test_unlike_texts_of_one_id_stay_and_leaks_without_an_id_go(spark, sf):
+    item = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len((r.text or "").split()) > 10)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "en", "web", 9), (1, b, "en", "web", 9), (1, b, "de", "web", 9), (2, c, "en", "web", 9), (3, c, "en", "web", 9), (None, item, "en", "web", 6), (None, a, "en", "web", 9), (4, "so " + item, "en", "web", 9), (4, a, "fr", "web", 9), (5, None, "en", "web", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)
+    two = sorted(map(str, (tuple(r) for r in stage["ngram_jaccard_join"](spark, docs, sf).collect())))
+    # 4 holds the text of 1 and is linked with it
+    assert two == sorted(map(str, [rows[0], rows[2], rows[3], rows[5], rows[6], rows[9]]))
+    three = sorted(map(str, (tuple(r) for r in stage["benchmark_decontamination"](spark, docs, sf).collect())))
+    assert three == sorted(map(str, [r for r in rows if item not in (r[1] or "")]))
+
+
 def test_pipeline_with_odd_rows_and_without_rows(spark, sf, docs_of):
     from tests.llm.conftest import ODD
 
