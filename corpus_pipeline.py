@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, ngram_join, packing, quality, secret_scan
@@ -27,21 +27,28 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles the document
-    with the smallest doc_id stays.  Rows that repeat a doc_id collapse into one; rows without a
+    with the smallest doc_id stays.  Rows that repeat a doc_id and a text collapse into the first by their
+    other columns; unlike texts of one doc_id are one document and stay or go together.  Rows without a
     doc_id can't be told apart and stay."""
     found = materialise(ngram_join.ngram_components(docs, k=5, percent=80), "groups")
     heads = materialise(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times")), "heads")
     kept = docs.join(heads.select("doc_id"), "doc_id", "left_semi")
     if not heads.where("times > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+        rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")))
+        first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(rest))
+        turn = "turn_" + "_".join(docs.columns)  # a name that no column has
+        kept = kept.withColumn(turn, first).where(F.col(f"`{turn}`") == 1).drop(turn)
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold four fifths or more of a test item's five-word shingles go."""
+    """Documents that hold four fifths or more of a test item's five-word shingles go.  Texts are told
+    apart by a hash, so a row goes or stays by its own text, whatever its doc_id, null or repeated."""
     items = small_batches(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contained_items(docs, items, k=5, percent=80)
-    return docs.join(materialise(found.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(docs.columns)
+    key = F.xxhash64(F.col("text"))
+    found = decontaminate.contained_items(docs.select(key.alias("doc_id"), "text"), items, k=5, percent=80)
+    leaks = materialise(found.select(F.col("doc_id").alias("leak")).distinct(), "leaks")
+    return docs.join(leaks, key == F.col("leak"), "left_anti").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
