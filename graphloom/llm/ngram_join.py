@@ -30,11 +30,14 @@ and Xiao et al., "Efficient Similarity Joins for Near Duplicate Detection", 2008
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,9 +127,9 @@ def _seen(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(local, "h long, n long, r int, twice boolean, size long, cells binary")
 
 
-def _lone(seen: DataFrame) -> np.ndarray:
-    """One bit for each cell, set where the corpus has more than one shingle; as many cells as the number of
-    shingles calls for, so the driver gets 2**CELL_BITS bits at most."""
+def _lone(seen: DataFrame) -> DataFrame:
+    """(r, bits): one bit for each cell of a range, set where the corpus has more than one shingle; as many
+    cells as the number of shingles calls for.  A written table, which tasks read: it doesn't pass the driver."""
     total = seen.agg(F.sum("size")).first()[0] or 0
     bits = min(CELL_BITS, max(CELL_RANGES.bit_length() + 2, (CELLS_EACH * total).bit_length()))
     fold = 1 << (CELL_BITS - bits)
@@ -151,14 +154,26 @@ def _lone(seen: DataFrame) -> np.ndarray:
             yield done()
 
     ranged = seen.where("r is not null").select("r", "twice", "cells").repartition("r").sortWithinPartitions("r")
-    out = np.zeros((1 << bits) // 8, np.uint8).reshape(CELL_RANGES, -1)
-    for row in ranged.mapInArrow(gather, "r int, bits binary").collect():  # CELL_RANGES rows
-        out[row.r] = np.frombuffer(row.bits, np.uint8)
-    return out.ravel()
-
-
-def _order(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent shingles of the corpus, sorted by hash, and their counts; the bits of :func:`_lone`."""
+    return materialise(ranged.mapInArrow(gather, "r int, bits binary"), "lone")
+
+
+@functools.lru_cache(1)
+def _bits(files: tuple[str, ...]) -> np.ndarray:
+    """The bits of all ranges from the files of :func:`_lone`; a worker keeps them."""
+    out = None
+    for file in files:
+        system, place = fs.FileSystem.from_uri(file)
+        table = pq.read_table(place, filesystem=system)
+        for r, bits in zip(table["r"].to_pylist(), table["bits"], strict=True):
+            part = np.frombuffer(bits.as_buffer(), np.uint8)
+            if out is None:
+                out = np.zeros((CELL_RANGES, len(part)), np.uint8)
+            out[r] = part
+    return np.zeros(CELL_RANGES, np.uint8) if out is None else out.ravel()
+
+
+def _order(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """The most frequent shingles of the corpus, sorted by hash, and their counts; the table of :func:`_lone`."""
     seen = materialise(_seen(docs, k), "seen")
     counts = seen.where("h is not null").groupBy("h").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "h").limit(ORDER_TOP).toPandas()  # at most ORDER_TOP rows
@@ -169,13 +184,14 @@ def _order(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return h[order], n[order], lone
 
 
-def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+def _profiles(docs: DataFrame, k: int, percent: int, top: tuple[np.ndarray, np.ndarray, DataFrame]) -> DataFrame:
     """One row a document: size and key of its set, its prefix, its suffix histogram."""
-    known = docs.sparkSession.sparkContext.broadcast(top)
+    known = docs.sparkSession.sparkContext.broadcast(top[:2])
+    files = tuple(sorted(top[2].inputFiles()))
     schema = "doc_id long, n long, node long, prefix array<long>, parts array<int>, kept array<long>, bits array<long>"
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, times, lone = known.value
+        (frequent, times), lone = known.value, _bits(files)
         cell = np.uint64(64 - (8 * len(lone)).bit_length() + 1)
         for batch in batches:
             for first, buf, offs in tn.slices(batch.column(1)):
@@ -305,7 +321,9 @@ class _Join:
 
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.docs, self.k, self.percent = docs, k, percent
-        self.profiles = materialise(_profiles(docs, k, percent, _order(docs, k)), "profiles")
+        order = _order(docs, k)
+        self.profiles = materialise(_profiles(docs, k, percent, order), "profiles")
+        drop(order[2])
         filled = self.profiles.where("n > 0 and doc_id is not null").select("doc_id", "node")
         self.owners = filled.distinct()
         self.copies = materialise(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "copies")
