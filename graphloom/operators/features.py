@@ -15,21 +15,25 @@ def bag(labels: Column) -> Column:
     return F.array_sort(F.filter(labels, lambda x: x.isNotNull()))
 
 
-def labelled(nodes: DataFrame) -> DataFrame:
-    """(query_id, of): each graph's nodes as one map from node to (label, given).
-
-    Graphs are small, so a map is a row; what looks labels up needs one shuffle by query_id, not
-    one for each end of an arc.
-    """
-    return nodes.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct("label", "given")))).alias("of"))
+def unique_nodes(nodes: DataFrame) -> DataFrame:
+    """One row for each node: of rows that repeat a (query_id, node) a given one stays, then one with a
+    label, then the least label.  Rows without a query_id or a node go."""
+    rows = nodes.where("query_id is not null and node is not null")
+    first = F.min(F.struct((~F.col("given")).alias("open"), F.col("label").isNull().alias("bare"), "label", "given")).alias("first")
+    return rows.groupBy("query_id", "node").agg(first).select("query_id", "node", "first.label", "first.given")
 
 
 def instances(graphs: Graphs) -> DataFrame:
-    """Arcs with the labels of both ends, both of which must be nodes of the graph."""
-    found = graphs.arcs.join(labelled(graphs.nodes), "query_id")
-    found = found.select("query_id", "node_a", "node_b", "rel", F.col("of")[F.col("node_a")].alias("a"), F.col("of")[F.col("node_b")].alias("b"))
-    found = found.where("a is not null and b is not null")
-    return found.select("query_id", "node_a", "node_b", "rel", F.col("a.label").alias("label_a"), F.col("b.label").alias("label_b"), F.col("a.given").alias("given_a"), F.col("b.given").alias("given_b"))
+    """Arcs with the labels of both ends, both of which must be nodes of the graph.
+
+    Nodes as in :func:`unique_nodes`.  Labels come by two joins on (query_id, node): a graph's arcs
+    aren't gathered, and a hub whose arcs are many is split by AQE as any skewed key.
+    """
+    of = unique_nodes(graphs.nodes)
+    found = graphs.arcs.select("query_id", "node_a", "node_b", "rel")
+    for end, side in (("node_a", "a"), ("node_b", "b")):
+        found = found.join(of.select("query_id", F.col("node").alias(end), F.col("label").alias(f"label_{side}"), F.col("given").alias(f"given_{side}")), ["query_id", end])
+    return found.select("query_id", "node_a", "node_b", "rel", "label_a", "label_b", "given_a", "given_b")
 
 
 def known_relations(graphs: Graphs, model: Model) -> Graphs:
@@ -41,11 +45,14 @@ def known_relations(graphs: Graphs, model: Model) -> Graphs:
 
 def factor_instances(graphs: Graphs) -> DataFrame:
     """Factors all of whose nodes are nodes of the graph: (query_id, factor_id, members), members
-    with node, label and given.  A node counts once in a factor."""
-    found = graphs.factors.join(labelled(graphs.nodes), "query_id").withColumn("nodes", F.array_distinct("nodes"))
-    found = found.where(F.forall("nodes", lambda n: F.col("of")[n].isNotNull()))
-    members = F.transform("nodes", lambda n: F.struct(n.alias("node"), F.col("of")[n]["label"].alias("label"), F.col("of")[n]["given"].alias("given")))
-    return found.select("query_id", "factor_id", members.alias("members"))
+    with node, label and given, by node.  A node counts once in a factor.  Repeated rows of a factor
+    count each; a factor of no nodes, or with a null among them, is none."""
+    each = graphs.factors.select("query_id", "factor_id", F.array_distinct("nodes").alias("nodes"))
+    each = each.groupBy("query_id", "factor_id", "nodes").agg(F.count("*").alias("times"))
+    at = each.withColumn("node", F.explode("nodes")).join(unique_nodes(graphs.nodes), ["query_id", "node"])
+    found = at.groupBy("query_id", "factor_id", "nodes", "times").agg(F.array_sort(F.collect_list(F.struct("node", "label", "given"))).alias("members")).where("size(members) = size(nodes)")
+    again = F.explode(F.sequence(F.lit(1).cast("long"), "times"))
+    return found.select("query_id", "factor_id", "members", again.alias("copy")).drop("copy")
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
@@ -117,20 +124,51 @@ def factor_index(factors: DataFrame, limit: int = 128, weight: str = "weight") -
     return _ranked(sized, ["size"], [F.asc("labels")], weight, limit).select("size", "labels", weight, "rn")
 
 
+def bag_minus(whole: Column, part: Column) -> Column:
+    """What of a bag is left without the labels of ``part``, each taken out as often as it stands there."""
+    return F.aggregate(part, whole, lambda rest, x: F.when(F.array_position(rest, x) > 0, F.concat(F.slice(rest, F.lit(1), F.array_position(rest, x).cast("int") - 1), F.slice(rest, F.array_position(rest, x).cast("int") + 1, F.greatest(F.size(rest), F.lit(1))))).otherwise(rest))
+
+
 def contains_bag(whole: Column, part: Column) -> Column:
     """Whether ``whole`` holds each label of ``part`` at least as often as ``part`` does."""
     return F.forall(F.array_distinct(part), lambda x: F.size(F.filter(whole, lambda y: y == x)) >= F.size(F.filter(part, lambda y: y == x)))
 
 
+def postings(bags: DataFrame, labels: str = "labels") -> DataFrame:
+    """Each bag's rows (size, label, times): once for each of its labels and each number of times, up to
+    how often it stands in the bag; the other columns stay."""
+    pairs = F.transform(F.array_distinct(labels), lambda x: F.struct(x.alias("label"), F.size(F.filter(labels, lambda y: y == x)).alias("most")))
+    each = bags.withColumn("p", F.explode(pairs)).withColumn("times", F.explode(F.sequence(F.lit(1), F.col("p.most"))))
+    return each.withColumn("label", F.col("p.label")).drop("p")
+
+
+def bags_that_hold(asked: DataFrame, factors: DataFrame, weight: str = "weight") -> DataFrame:
+    """``asked`` (size, given) with every bag (labels, weight) of that size that holds the bag ``given``,
+    which must not be empty.
+
+    An inverted list goes from (size, label, how often) to the bags that hold a label so often; a bag of
+    given labels looks only at the shortest list among its labels and checks the rest there.
+    """
+    lists = postings(factors.select("labels", weight, F.size("labels").alias("size")))
+    length = lists.groupBy("size", "label", "times").agg(F.count("*").alias("length"))
+    wanted = postings(asked.select("size", "given"), "given").join(length, ["size", "label", "times"], "left")
+    # a label that no bag holds so often makes the list empty, which is the shortest
+    rarest = F.min(F.struct(F.coalesce("length", F.lit(0)).alias("length"), "label", "times")).alias("r")
+    wanted = wanted.groupBy("size", "given").agg(rarest).select("size", "given", "r.label", "r.times")
+    return wanted.join(lists, ["size", "label", "times"]).where(contains_bag(F.col("labels"), F.col("given"))).select("size", "given", "labels", weight)
+
+
 def factor_candidates(found: DataFrame, factors: DataFrame, limit: int = 128, weight: str = "weight") -> DataFrame:
     """For each factor the known bags of its size that hold its given labels, the best ``limit``."""
     given = F.array_sort(F.transform(F.filter("members", lambda m: m["given"] & m["label"].isNotNull()), lambda m: m["label"]))
     wanted = found.select("query_id", "factor_id", F.size("members").alias("size"), given.alias("given"))
     # factors ask with few different bags of given labels: containment is decided once for each
     asked = wanted.select("size", "given").distinct()
-    fit = asked.join(factors.withColumn("size", F.size("labels")), "size").where(contains_bag(F.col("labels"), F.col("given")))
-    top = _ranked(fit, ["size", "given"], [F.asc("labels")], weight, limit)
-    return wanted.join(top, ["size", "given"]).select("query_id", "factor_id", "labels", weight, "rn")
+    fit = bags_that_hold(asked.where("size(given) > 0"), factors, weight)
+    top = _ranked(fit, ["size", "given"], [F.asc("labels")], weight, limit).select("size", "given", "labels", weight, "rn")
+    # without given labels any bag of the size fits: at most `limit` rows a size
+    any_bag = asked.where("size(given) = 0").join(factor_index(factors, limit, weight), "size").select("size", "given", "labels", weight, "rn")
+    return wanted.join(top.unionByName(any_bag), ["size", "given"]).select("query_id", "factor_id", "labels", weight, "rn")
 
 
 def top_of_model(pairs: DataFrame, freq: DataFrame, labels: int = 96, rels: int = 3, partners: int = 3, weight: str = "weight") -> DataFrame:

@@ -83,10 +83,7 @@ def pl_pass(graphs: Graphs, model: Model, rate: float, beam: int = 16, regulariz
 def ssvm_step(graphs: Graphs, model: Model, rate: float, margin: float = 0.1, regularization: float = 2.0, options: se.Options | None = None) -> tuple[Model, DataFrame]:
     """A max-margin pass and its statistics: search from the gold labels with the margin off them,
     then move weights by the features of gold less those of the prediction."""
-    options = options or se.Options()
-    packed = se.packed_model(model, None, options)
-    predicted = se.relational(graphs, model, options, margin=margin) if packed is None else se.search(graphs, packed, options, margin)
-    predicted = predicted.persist()
+    predicted = se.search(graphs, model, options, margin=margin)
     there = graphs.with_nodes(predicted)
     gradients = []
     for keys, count in ((PAIR, lambda g: ft.pair_counts(ft.instances(g))), (BAG, lambda g: ft.factor_counts(ft.factor_instances(g)))):

@@ -4,19 +4,37 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only Spark in one process may do
+    without it and gets a temporary one."""
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not context.getCheckpointDir():
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint.
+    """``df`` written as Parquet in the shared folder and read back.
 
-    It goes to the folder that the cluster names in spark.checkpoint.dir; only Spark in one process may
-    do without it and gets a temporary one.
+    Unlike a checkpoint the table is columnar, has its size for the optimizer, and brings no constraints
+    of the plan that made it: those of a loop's rounds add up until planning takes minutes.
     """
-    context, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not context.getCheckpointDir():
-        if not named and not re.match(r"local(\[|$)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint()
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/graphloom-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that :func:`cut` returned; nothing that reads it may run later."""
+    for name in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

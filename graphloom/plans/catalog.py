@@ -13,6 +13,7 @@ from graphloom.operators import evaluate as ev
 from graphloom.operators import explain as ex
 from graphloom.operators import features as ft
 from graphloom.operators import learn as le
+from graphloom.operators import moves as mv
 from graphloom.operators import score as sc
 from graphloom.operators import search as se
 from graphloom.plans import catalog_sql, service
@@ -231,6 +232,56 @@ def label_error_report(spark, d):
     return ev.error_report(ev.label_errors(_predicted(spark, d)))
 
 
+def _round(b, proposals, at, factors):
+    """What one round of moves does: each owner's best proposal, its gain, and whether it wins its draw."""
+    drawn = mv.independent(b, mv.best_of(mv.gains(b, proposals, at, factors)), 0)
+    changes = F.array_join(F.transform("changes", lambda c: F.concat_ws("=", c["node"], c["label"])), "|")
+    return drawn.select("query_id", "owner", changes.alias("changes"), F.col("gain").cast("long").alias("gain"), "wins")
+
+
+def _orders_board(spark, d):
+    g = co.orders_graph(spark, d)
+    b = mv.board(g, _whole(ft.count_model(g)))
+    return b, mv.arcs_at(b), mv.factors_of(b)
+
+
+def node_moves_round(spark, d):
+    """A round of node moves from the present labels of orders, under their counts."""
+    b, at, factors = _orders_board(spark, d)
+    return _round(b, mv.node_proposals(b, at, ft.BEAM), at, factors)
+
+
+def arc_moves_round(spark, d):
+    """A round of arc moves over the four best pairs of labels of each relation."""
+    b, at, factors = _orders_board(spark, d)
+    return _round(b, mv.arc_proposals(b, mv.eligible_arcs(b), 4), at, factors)
+
+
+def factor_moves_round(spark, d):
+    """A round of factor moves over the eight best bags of each factor."""
+    b, at, factors = _orders_board(spark, d)
+    return _round(b, mv.factor_proposals(b, factors, 8), at, factors)
+
+
+def swap_moves_round(spark, d):
+    """A round of node moves and swaps of part names inside orders, whose names are kept apart."""
+    g = co.parts_graph(spark, d)
+    b = mv.board(g, _whole(ft.count_model(g)))
+    at = mv.arcs_at(b)
+    return _round(b, mv.node_proposals(b, at, 8), at, None)
+
+
+def greedy_layers(spark, d):
+    """(query_id, node, layer): the first two layers of the greedy order in sessions, the nodes with most
+    assigned neighbours first."""
+    g = co.session_graph(spark, d)
+    nodes, arcs = ft.unique_nodes(g.nodes), g.arcs.distinct()
+    rest, done = nodes.where("not given").select("query_id", "node"), nodes.where("given").select("query_id", "node")
+    first = se.next_layer(arcs, rest, done)
+    second = se.next_layer(arcs, rest.join(first, ["query_id", "node"], "left_anti"), done.unionByName(first))
+    return first.withColumn("layer", F.lit(1)).unionByName(second.withColumn("layer", F.lit(2)))
+
+
 def map_inference(spark, d):
     g = co.orders_graph(spark, d)
     return se.infer(g.with_nodes(se.cleared(g.nodes)), ft.count_model(g))
@@ -301,7 +352,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         pair_feature_counts, factor_feature_counts, label_frequency, rare_label_collapse, unknown_labels, valid_labels, dictionary, factor_candidates, total_score, node_score, pair_score, nbest, nbest_valid,
         node_degree, known_relation_degree, arc_pass_eligible, histogram_degree, scope_conflicts, unique_conflict_node, confusion_stats, showgraph_nodes, showgraph_edges, model_top_labels, kfold_assignment, pl_partition_function,
-        pl_gradient_pass1, pl_weights_after_pass1, one_sweep_argmax, precision_stats, label_error_report, map_inference, map_inference_scopes, eval_error_stats, ssvm_pass, train_pl, train_ssvm, train_pl_ssvm, cross_validation, bp_inference, json_round_trip,
+        pl_gradient_pass1, pl_weights_after_pass1, one_sweep_argmax, precision_stats, label_error_report, node_moves_round, arc_moves_round, factor_moves_round, swap_moves_round, greedy_layers, map_inference, map_inference_scopes, eval_error_stats, ssvm_pass, train_pl, train_ssvm, train_pl_ssvm, cross_validation, bp_inference, json_round_trip,
         string_functions, rpc_dispatch,
     )
 }

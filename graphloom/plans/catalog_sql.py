@@ -108,6 +108,64 @@ w0 AS (SELECT label_a, label_b, rel, CAST(0.25 AS DOUBLE) AS w FROM feat),
 {pl_weights("w0", START, "w1")}, {pl_weights("w1", f"({START} / sqrt(2))", "w2")} SELECT label_a, label_b, rel, round(w, 6) AS weight FROM w2"""
 
 
+def round_of_moves(proposals: str, factors: bool = True, scopes: bool = False) -> str:
+    """CTEs after prop (query_id, owner, changes) and ch (the same with each node and label): gains, each
+    owner's best proposal, draws, and the query.  ``ties`` are the arcs, factors and scopes of nodes."""
+    bag_gain = """UNION ALL SELECT query_id, owner, changes, coalesce(f.n, 0) - coalesce(o.n, 0) FROM (
+    SELECT DISTINCT p.query_id, p.owner, p.changes, fi.factor_id, list_sort([coalesce(x.label, l0), l1, coalesce(y.label, l2)]) AS bag, list_sort([l0, l1, l2]) AS old FROM ch p
+    JOIN fi ON fi.query_id = p.query_id AND p.node IN (0, 2 * fi.factor_id) LEFT JOIN ch x ON x.query_id = p.query_id AND x.owner = p.owner AND x.changes = p.changes AND x.node = 0
+    LEFT JOIN ch y ON y.query_id = p.query_id AND y.owner = p.owner AND y.changes = p.changes AND y.node = 2 * fi.factor_id) LEFT JOIN ffeat f USING (bag) LEFT JOIN ffeat o ON o.bag = old"""
+    bag_ties = """UNION ALL SELECT query_id, 0, 'factor', factor_id, factor_id FROM fi UNION ALL SELECT query_id, 2 * factor_id, 'factor', factor_id, factor_id FROM fi"""
+    return f"""{proposals},
+ch AS MATERIALIZED (SELECT query_id, owner, changes, CAST(string_split(c, '=')[1] AS INT) AS node, c[position('=' IN c) + 1:] AS label FROM (SELECT *, unnest(string_split(changes, '|')) AS c FROM prop)),
+dist AS MATERIALIZED (SELECT DISTINCT query_id, node_a, node_b, rel, label_a, label_b FROM inst),
+hit AS (SELECT DISTINCT p.query_id, p.owner, p.changes, d.* EXCLUDE (query_id) FROM ch p JOIN dist d ON d.query_id = p.query_id AND p.node = d.node_a
+  UNION SELECT p.query_id, p.owner, p.changes, d.* EXCLUDE (query_id) FROM ch p JOIN dist d ON d.query_id = p.query_id AND p.node = d.node_b),
+ga AS (SELECT h.query_id, h.owner, h.changes, coalesce(f.n, 0) - coalesce(o.n, 0) AS g FROM hit h LEFT JOIN ch x ON x.query_id = h.query_id AND x.owner = h.owner AND x.changes = h.changes AND x.node = h.node_a
+  LEFT JOIN ch y ON y.query_id = h.query_id AND y.owner = h.owner AND y.changes = h.changes AND y.node = h.node_b
+  LEFT JOIN feat f ON f.rel = h.rel AND f.label_a = coalesce(x.label, h.label_a) AND f.label_b = coalesce(y.label, h.label_b) LEFT JOIN feat o ON o.rel = h.rel AND o.label_a = h.label_a AND o.label_b = h.label_b
+  {bag_gain if factors else ""}),
+each_gain AS (SELECT query_id, owner, changes, CAST(sum(g) AS BIGINT) AS gain FROM ga GROUP BY ALL),
+best AS MATERIALIZED (SELECT * FROM each_gain WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY query_id, owner ORDER BY gain DESC, changes) = 1),
+ties AS (SELECT DISTINCT query_id, unnest([node_a, node_b]) AS node, 'arc' AS kind, least(node_a, node_b) AS x, greatest(node_a, node_b) AS y FROM arcs WHERE node_a <> node_b {bag_ties if factors else ""}),
+claims AS (SELECT b.query_id, b.owner, t.kind, t.x, t.y, '' AS label FROM best b JOIN ch c USING (query_id, owner, changes) JOIN ties t ON t.query_id = c.query_id AND t.node = c.node
+  UNION ALL SELECT b.query_id, b.owner, 'node', c.node, c.node, '' FROM best b JOIN ch c USING (query_id, owner, changes)
+  {"UNION ALL SELECT b.query_id, b.owner, 'scope', 0, 0, c.label FROM best b JOIN ch c USING (query_id, owner, changes)" if scopes else ""}),
+tops AS (SELECT query_id, owner, owner = arg_max(owner, md5('0:' || query_id || ':' || owner)) OVER (PARTITION BY query_id, kind, x, y, label) AS top FROM claims),
+won AS (SELECT query_id, owner, bool_and(top) AS wins FROM tops GROUP BY ALL)
+SELECT query_id, owner, changes, gain, wins FROM best JOIN won USING (query_id, owner)"""
+
+
+NODE_PROPOSALS = "prop AS MATERIALIZED (SELECT c.query_id, CAST(c.node AS VARCHAR) AS owner, c.node || '=' || c.cand AS changes FROM cand c JOIN nodes n USING (query_id, node) WHERE c.cand IS DISTINCT FROM n.label)"
+ARC_PROPOSALS = """deg AS (SELECT query_id, node, count(*) AS degree FROM adj GROUP BY ALL), low AS (SELECT n.query_id, n.node, n.label FROM nodes n JOIN deg USING (query_id, node) WHERE degree <= 32 AND NOT given),
+rk AS (SELECT rel, label_a, label_b FROM feat QUALIFY row_number() OVER (PARTITION BY rel ORDER BY n DESC, label_a DESC, label_b DESC) <= 4),
+pr AS (SELECT DISTINCT r.query_id, r.node_a, r.node_b, r.rel, k.label_a AS x, k.label_b AS y, a.label AS la, b.label AS lb FROM arcs r JOIN low a ON a.query_id = r.query_id AND a.node = r.node_a
+  JOIN low b ON b.query_id = r.query_id AND b.node = r.node_b JOIN rk k ON k.rel = r.rel WHERE r.node_a <> r.node_b AND (k.label_a <> a.label OR k.label_b <> b.label)),
+prop AS MATERIALIZED (SELECT query_id, node_a || '-' || node_b || '-' || rel AS owner, CASE WHEN x = la THEN node_b || '=' || y WHEN y = lb THEN node_a || '=' || x
+  WHEN node_a < node_b THEN node_a || '=' || x || '|' || node_b || '=' || y ELSE node_b || '=' || y || '|' || node_a || '=' || x END AS changes FROM pr)"""
+FACTOR_PROPOSALS = """asked AS (SELECT DISTINCT l1 FROM fi), fc AS (SELECT l1, bag FROM asked JOIN ffeat ON list_contains(bag, l1) QUALIFY row_number() OVER (PARTITION BY l1 ORDER BY n DESC, bag ASC) <= 8),
+rest AS (SELECT query_id, factor_id, l0, l2, list_concat(bag[:list_position(bag, l1) - 1], bag[list_position(bag, l1) + 1:]) AS r FROM fi JOIN fc USING (l1)),
+laid AS (SELECT query_id, factor_id, l0, l2, r[1] AS x, r[2] AS y FROM rest UNION SELECT query_id, factor_id, l0, l2, r[2], r[1] FROM rest),
+prop AS MATERIALIZED (SELECT DISTINCT query_id, 'f' || factor_id AS owner, CASE WHEN x = l0 THEN 2 * factor_id || '=' || y WHEN y = l2 THEN '0=' || x ELSE '0=' || x || '|' || 2 * factor_id || '=' || y END AS changes
+  FROM laid WHERE x <> l0 OR y <> l2)"""
+SWAPS = f"""WITH {PARTS},
+arcs AS MATERIALIZED (SELECT query_id, 2 * k AS node_a, 2 * k + 1 AS node_b, 'name_brand' AS rel FROM lines), {INST}, {candidates(8)},
+c AS (SELECT c.query_id, c.node, c.cand, n.label FROM cand c JOIN nodes n USING (query_id, node) WHERE c.cand IS DISTINCT FROM n.label),
+held AS MATERIALIZED (SELECT query_id, node AS holder, label FROM nodes WHERE NOT given),
+cl AS (SELECT c.query_id, c.node, c.cand, c.label, count(h.holder) AS n, min(h.holder) AS holder FROM c LEFT JOIN held h ON h.query_id = c.query_id AND h.label = c.cand AND h.holder <> c.node GROUP BY ALL),
+bad AS (SELECT DISTINCT cl.query_id, cl.node, cl.cand FROM cl JOIN held h ON h.query_id = cl.query_id AND h.label = cl.label AND h.holder <> cl.node AND h.holder <> cl.holder WHERE n = 1),
+prop AS MATERIALIZED (SELECT query_id, CAST(node AS VARCHAR) AS owner, CASE WHEN n = 0 THEN node || '=' || cand WHEN node < holder THEN node || '=' || cand || '|' || holder || '=' || label
+  ELSE holder || '=' || label || '|' || node || '=' || cand END AS changes FROM cl ANTI JOIN bad USING (query_id, node, cand) WHERE n <= 1)"""
+LAYERS = f"""WITH {SESSIONS}, u AS MATERIALIZED (SELECT DISTINCT * FROM arcs), rest AS MATERIALIZED (SELECT query_id, node FROM nodes WHERE NOT given), done AS (SELECT query_id, node FROM nodes WHERE given),
+b AS MATERIALIZED (SELECT query_id, node_a AS node, node_b AS other FROM u WHERE node_a <> node_b UNION ALL SELECT query_id, node_b, node_a FROM u WHERE node_a <> node_b),
+one AS MATERIALIZED (SELECT query_id, node FROM (SELECT b.query_id, b.node, count(*) AS n FROM b SEMI JOIN rest r ON r.query_id = b.query_id AND r.node = b.node SEMI JOIN done d ON d.query_id = b.query_id AND d.node = b.other GROUP BY ALL)
+  QUALIFY n = max(n) OVER (PARTITION BY query_id)),
+left_over AS (SELECT query_id, node FROM rest ANTI JOIN one USING (query_id, node)), more AS (SELECT * FROM done UNION ALL SELECT * FROM one),
+two AS (SELECT query_id, node FROM (SELECT b.query_id, b.node, count(*) AS n FROM b SEMI JOIN left_over r ON r.query_id = b.query_id AND r.node = b.node SEMI JOIN more d ON d.query_id = b.query_id AND d.node = b.other GROUP BY ALL)
+  QUALIFY n = max(n) OVER (PARTITION BY query_id))
+SELECT query_id, CAST(node AS INT) AS node, 1 AS layer FROM one UNION ALL SELECT query_id, CAST(node AS INT), 2 FROM two"""
+
+
 def escaped(text: str) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'" if s not in "\n\r\t" else f"chr({ord(s)})"
     for c, e in ESCAPES.items():
@@ -171,6 +229,11 @@ SQL: dict[str, str] = {
         SELECT correct, incorrect, known, round(incorrect / (correct + incorrect), 6) AS error_rate, round(known / (correct + incorrect), 6) AS recall FROM c""",
     "label_error_report": f"""WITH {SWEEP}, e AS (SELECT coalesce(expected, '[none]') || ' -> ' || coalesce(predicted, '[none]') AS what, count(*) AS n FROM cmp WHERE expected IS DISTINCT FROM predicted GROUP BY 1)
         SELECT printf('%8d : %s', n, what) AS value FROM (SELECT * FROM e ORDER BY n DESC, what DESC LIMIT 32)""",
+    "node_moves_round": f"WITH {ORDERS}, {candidates(64)}, {round_of_moves(NODE_PROPOSALS)}",
+    "arc_moves_round": f"WITH {ORDERS}, {round_of_moves(ARC_PROPOSALS)}",
+    "factor_moves_round": f"WITH {ORDERS}, {round_of_moves(FACTOR_PROPOSALS)}",
+    "swap_moves_round": round_of_moves(SWAPS, factors=False, scopes=True),
+    "greedy_layers": LAYERS,
     "json_round_trip": f"WITH {DIALOGS} SELECT * FROM feat",
     "string_functions": f"""WITH t AS (SELECT p_partkey, ' ' || chr(9) || p_name || ' | a,b;c\\d ' || chr(10) AS s, CAST(p_size * 17 AS VARCHAR) AS size FROM part), u AS (SELECT *, trim(s, ' ' || chr(10) || chr(13) || chr(9)) AS trimmed FROM t)
         SELECT p_partkey, trimmed, CASE WHEN length(trimmed) > 12 THEN trimmed[1:9] || '...' ELSE trimmed END AS short, {escaped("s")} AS escaped, true AS same, len(string_split(s, ' ')) AS parts,

@@ -16,10 +16,13 @@ ENVELOPE = "jsonrpc string, method string, params string, id string"
 PARAMS = {"query": "ARRAY", "assign": "ARRAY", "n": "BIGINT", "infer": "BOOLEAN", "version": "STRING"}  #: types that a parameter may have
 METHODS = ("infer", "nbest", "showgraph")  # fixed values: method names and error codes
 ERRORS = {"parse": -32700, "request": -32600, "method": -32601, "params": -32602, "version": -31001}
+# fixed values: the messages of protocol 2.0
+MESSAGES = {-32700: "Parse error", -32600: "Invalid Request", -32601: "Method not found", -32602: "Invalid params", -31001: "Version mismatch"}
 
 
 def envelopes(requests: DataFrame, version: str | None = None) -> DataFrame:
-    """(request_id, part, id, method, params, code): each call with the code of its error, or null.
+    """(request_id, part, id, method, params, code, id_json): each call with the code of its error, or null;
+    ``id_json`` is the call's id as it was sent, a number or a string (null: none).
 
     ``requests`` has request_id and body, a call or an array of calls; ``part`` is a call's place in
     the array (null: no array; an empty array is one bad call).  A call that isn't JSON, isn't an
@@ -46,7 +49,7 @@ def envelopes(requests: DataFrame, version: str | None = None) -> DataFrame:
     )
     if version is not None:
         code = code.when(~F.col("p.version").eqNullSafe(version), F.lit(ERRORS["version"]))
-    return rows.select("request_id", "part", F.col("e.id").alias("id"), F.col("e.method").alias("method"), F.col("p").alias("params"), code.alias("code"))
+    return rows.select("request_id", "part", F.col("e.id").alias("id"), F.col("e.method").alias("method"), F.col("p").alias("params"), code.alias("code"), F.to_json(F.try_variant_get("v", "$.id", "variant")).alias("id_json"))
 
 
 def respond(requests: DataFrame, model: Model, version: str | None = None, options: se.Options | None = None) -> DataFrame:
@@ -70,9 +73,11 @@ def respond(requests: DataFrame, model: Model, version: str | None = None, optio
     shown = explain.graph_response(explain.graph_nodes(g2.nodes, sc.degrees(sc.adjacency(found))), explain.graph_edges(found, sc.pair_scores(found, model.pairs)))
     replies = replies.unionByName(explain.nbest_response(best)).unionByName(shown)
     joined = seen.join(replies, "query_id", "left")
-    result = F.concat(F.lit('{"jsonrpc":"2.0","result":'), F.coalesce("response", F.lit("[]")), F.lit(',"id":'), F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2), F.lit("}"))
-    error = F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.struct(F.col("code").alias("code")).alias("error"), F.col("id")))
-    said = joined.where("id is not null or code is not null").select("request_id", "part", F.when(F.col("code").isNull(), result).otherwise(error).alias("response"))
+    sent = F.concat(F.lit(',"id":'), F.coalesce("id_json", F.lit("null")), F.lit("}"))
+    result = F.concat(F.lit('{"jsonrpc":"2.0","result":'), F.coalesce("response", F.lit("[]")), sent)
+    message = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])[F.col("code")]
+    error = F.concat(F.lit('{"jsonrpc":"2.0","error":'), F.to_json(F.struct("code", message.alias("message"))), sent)
+    said = joined.where("id_json is not null or code is not null").select("request_id", "part", F.when(F.col("code").isNull(), result).otherwise(error).alias("response"))
     one = said.where("part is null").select("request_id", "response")
     many = said.where("part is not null").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("part", "response"))).alias("all"))
     return one.unionByName(many.select("request_id", F.concat(F.lit("["), F.array_join("all.response", ","), F.lit("]")).alias("response")))

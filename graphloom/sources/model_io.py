@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.schema import FACTOR_FEATURES, LABEL_FREQ, PAIR_FEATURES, Model
 
@@ -25,7 +26,7 @@ def save_report(report: DataFrame, path: str, compression: str = "none") -> None
 
 
 def append_log(requests: DataFrame, path: str) -> None:
-    """Requests and replies as JSON lines with the time they were written; files are only added."""
-    from pyspark.sql import functions as F
-
-    requests.withColumn("time", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).write.mode("append").json(path)
+    """Requests and replies as JSON lines with the UTC time they were written, whatever the session's zone;
+    files are only added."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    requests.withColumn("time", F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")).write.mode("append").json(path)

@@ -1,6 +1,7 @@
 """Strings, rules, JSON lines, containers, models, service and stream."""
 
 import json
+from datetime import UTC, datetime
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -71,6 +72,18 @@ def test_model_round_trip(spark, sf, tmp_path):
         assert a.exceptAll(b.select(a.columns)).count() == 0 and a.count() == b.count()
 
 
+def test_log_is_in_utc(spark, tmp_path):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        model_io.append_log(spark.createDataFrame([("x",)], "body string"), str(tmp_path / "log"))
+        said = json.loads(next(p for p in (tmp_path / "log").iterdir() if p.name.startswith("part")).read_text())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    at = datetime.strptime(said["time"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC)
+    assert abs((datetime.now(UTC) - at).total_seconds()) < 120
+
+
 def requests():
     graph = {"query": [{"a": 0, "b": 1, "f2": "turn"}], "assign": [{"v": 0, "inf": "x"}, {"v": 1, "giv": "user"}]}
     ask = lambda i, m, **kw: (i, json.dumps({"jsonrpc": "2.0", "method": m, "params": graph | kw, "id": str(i)}))
@@ -86,6 +99,9 @@ def test_service(spark, sf):
     assert len(got[2]["result"][0]["candidates"]) == 2
     assert {n["color"] for n in got[3]["result"]["nodes"]} == {"#6c9ba4", "#96816a"}
     assert 7 not in got
+    assert got[4]["error"]["message"] == "Method not found" and got[5]["id"] is None and got[6]["id"] == "6"
+    numbered = spark.createDataFrame([(8, requests()[0][1].replace('"id": "1"', '"id": 7')), (9, requests()[3][1].replace('"id": "4"', '"id": 7.5'))], "request_id long, body string")
+    assert {r.request_id: json.loads(r.response)["id"] for r in service.respond(numbered, model).collect()} == {8: 7, 9: 7.5}
     late = service.envelopes(asked, version="2").where("request_id = 1").first()
     assert late.code == -31001
 
