@@ -95,6 +95,23 @@ def folds(graphs: Graphs, k: int) -> DataFrame:
     return numbered.select("query_id", F.pmod(F.col("before") + F.col("rn"), F.lit(k)).cast("int").alias("fold"))
 
 
+def pass_order(graphs: Graphs, passes: int, seed: int = 0, digits: int = 3) -> DataFrame:
+    """(query_id, pass, position): every graph once in each pass, in an order that a keyed hash of the pass
+    and the graph's id gives, positions from 1.
+
+    Only ids are shuffled; the order is the same whenever and wherever a task runs again.  The first
+    ``digits`` of the hash make 16**digits groups that sort apart, and only their sizes meet in a task.
+    """
+    ids = graphs.nodes.where("query_id is not null").select("query_id").distinct()
+    each = ids.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(passes))).alias("pass"))
+    each = each.withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), "pass", "query_id"))).withColumn("bucket", F.substring("key", 1, digits))
+    sizes = each.groupBy("pass", "bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("pass").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("pass", "bucket").orderBy("key", "query_id"))
+    numbered = each.withColumn("rn", within).join(sizes.withColumn("before", before).select("pass", "bucket", "before"), ["pass", "bucket"])
+    return numbered.select("query_id", "pass", (F.col("before") + F.col("rn")).alias("position"))
+
+
 def histogram(values: DataFrame, value: str, most: int) -> DataFrame:
     """(bucket, n, share): values above ``most`` fall into the bucket ``most``."""
     counted = values.select(F.least(F.col(value), F.lit(most)).cast("long").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))

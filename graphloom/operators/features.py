@@ -60,6 +60,22 @@ def pair_counts(found: DataFrame) -> DataFrame:
     return found.where("label_a is not null and label_b is not null").groupBy("label_a", "label_b", "rel").agg(F.count("*").alias("n"))
 
 
+def rest_counts(found: DataFrame, fold: DataFrame, k: int) -> DataFrame:
+    """(fold, label_a, label_b, rel, n): for each of ``k`` folds (query_id, fold) the pair counts of all other
+    folds, in one pass over the arcs: the total of a feature less what the fold itself has of it."""
+    key = ["label_a", "label_b", "rel"]
+    own = found.where("label_a is not null and label_b is not null").join(fold, "query_id").groupBy("fold", *key).agg(F.count("*").alias("own"))
+    total = own.groupBy(*key).agg(F.sum("own").alias("total")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    rest = total.join(own, ["fold", *key], "left").withColumn("n", F.col("total") - F.coalesce("own", F.lit(0)))
+    return rest.where("n > 0").select("fold", *key, "n")
+
+
+def fold_candidates(rest: DataFrame, beam: int = BEAM) -> DataFrame:
+    """:func:`candidates_by_b` of the models of all folds at once: (fold, ctx, rel, cand, n, rn)."""
+    top = _ranked(rest, ["fold", "label_b", "rel"], [F.desc("label_a")], "n", beam)
+    return top.select("fold", F.col("label_b").alias("ctx"), "rel", F.col("label_a").alias("cand"), "n", "rn")
+
+
 def factor_counts(found: DataFrame) -> DataFrame:
     """How often each bag of labels stands on a factor."""
     key = bag(F.transform("members", lambda m: m["label"]))

@@ -190,6 +190,18 @@ def kfold_assignment(spark, d):
     return ev.folds(co.orders_graph(spark, d), 5).withColumn("fold", F.col("fold").cast("long"))
 
 
+def reshuffled_passes(spark, d):
+    """The order of the orders in the first two passes of a training."""
+    return ev.pass_order(co.orders_graph(spark, d), 2, seed=1)
+
+
+def fold_models(spark, d):
+    """The candidates of the count models of five folds, each counted over the other four."""
+    g, found = _orders(spark, d)
+    best = ft.fold_candidates(ft.rest_counts(found, ev.folds(g, 5), 5), 4)
+    return best.withColumns({"fold": F.col("fold").cast("long"), "rn": F.col("rn").cast("long")})
+
+
 def _pl(spark, d):
     g, found = _orders(spark, d)
     return g, found, le.initial_weights(ft.count_model(g, use_factors=False))
@@ -351,7 +363,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         pair_feature_counts, factor_feature_counts, label_frequency, rare_label_collapse, unknown_labels, valid_labels, dictionary, factor_candidates, total_score, node_score, pair_score, nbest, nbest_valid,
-        node_degree, known_relation_degree, arc_pass_eligible, histogram_degree, scope_conflicts, unique_conflict_node, confusion_stats, showgraph_nodes, showgraph_edges, model_top_labels, kfold_assignment, pl_partition_function,
+        node_degree, known_relation_degree, arc_pass_eligible, histogram_degree, scope_conflicts, unique_conflict_node, confusion_stats, showgraph_nodes, showgraph_edges, model_top_labels, kfold_assignment, reshuffled_passes, fold_models, pl_partition_function,
         pl_gradient_pass1, pl_weights_after_pass1, one_sweep_argmax, precision_stats, label_error_report, node_moves_round, arc_moves_round, factor_moves_round, swap_moves_round, greedy_layers, map_inference, map_inference_scopes, eval_error_stats, ssvm_pass, train_pl, train_ssvm, train_pl_ssvm, cross_validation, bp_inference, json_round_trip,
         string_functions, rpc_dispatch,
     )

@@ -219,6 +219,11 @@ SQL: dict[str, str] = {
         t AS (SELECT label, rel, CAST(sum(n) AS BIGINT) AS total FROM o GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY total DESC, rel DESC) AS rel_rank FROM t QUALIFY rel_rank <= 3)
         SELECT label, rel, partner, n, total, rel_rank, row_number() OVER (PARTITION BY label, rel ORDER BY n DESC, partner DESC) AS partner_rank FROM o JOIN r USING (label, rel) QUALIFY partner_rank <= 3""",
     "kfold_assignment": f"WITH {LINES} SELECT query_id, row_number() OVER (ORDER BY query_id) % 5 AS fold FROM (SELECT DISTINCT query_id FROM lines)",
+    "reshuffled_passes": f"""WITH {LINES} SELECT query_id, CAST(pass AS INT) AS pass, row_number() OVER (PARTITION BY pass ORDER BY md5('1:' || pass || ':' || query_id)) AS position
+        FROM (SELECT DISTINCT query_id FROM lines), (SELECT unnest([1, 2]) AS pass)""",
+    "fold_models": f"""WITH {ORDERS}, ids AS (SELECT query_id, row_number() OVER (ORDER BY query_id) % 5 AS fold FROM (SELECT DISTINCT query_id FROM nodes)), k AS (SELECT unnest(range(0, 5)) AS fold),
+        r AS (SELECT k.fold, label_a, label_b, rel, count(*) AS n FROM inst JOIN ids USING (query_id) JOIN k ON k.fold <> ids.fold GROUP BY ALL)
+        SELECT fold, label_b AS ctx, rel, label_a AS cand, n, row_number() OVER (PARTITION BY fold, label_b, rel ORDER BY n DESC, label_a DESC) AS rn FROM r QUALIFY rn <= 4""",
     "pl_partition_function": f"WITH {PL} SELECT query_id, node, CAST(sum(times) AS BIGINT) AS n, round(max(p), 6) AS top_p FROM pr GROUP BY ALL",
     "pl_gradient_pass1": f"WITH {PL}, {gradient('CAST(0.1 AS DOUBLE)')} SELECT label_a, label_b, rel, round(g, 4) AS g FROM grad",
     "pl_weights_after_pass1": f"""WITH {PL}, {gradient("(SELECT CAST(0.01 AS DOUBLE) / count(DISTINCT query_id) FROM nodes)")}
