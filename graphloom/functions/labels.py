@@ -73,17 +73,22 @@ def known_or_free(nodes: DataFrame, dictionary: DataFrame, rules: list[Rule]) ->
 def dictionary(*labels: DataFrame) -> DataFrame:
     """(label, id): distinct labels with dense ids from 0 in order of the label.
 
-    Ids come from counts of ranges of first characters, so no task sorts all labels.
+    Labels are sorted in ranges, which Spark cuts by a sample, so labels that begin alike don't share a
+    task; ids come from the ranges' sizes.  The sorted labels are written before they are counted.
     """
     from functools import reduce
 
     from pyspark.sql import Window
 
-    every = reduce(DataFrame.unionByName, labels).where("label is not null").distinct().withColumn("head", F.substring("label", 1, 2))
-    sizes = every.groupBy("head").agg(F.count("*").alias("n"))
-    before = sizes.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("head").orderBy("label"))
-    return every.withColumn("rn", within).join(before, "head").select("label", (F.col("before") + F.col("rn") - 1).cast("long").alias("id"))
+    from graphloom.operators.lineage import cut
+
+    every = reduce(DataFrame.unionByName, labels).where("label is not null").distinct()
+    place = F.monotonically_increasing_id()  # the range above 33 bits of the place in it
+    every = cut(every.repartitionByRange("label").sortWithinPartitions("label").select("label", place.alias("place")))
+    every = every.select("label", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("place"))
+    sizes = every.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return every.join(before, "part").select("label", (F.col("before") + F.col("place")).alias("id"))
 
 
 def literal(text: str) -> str:

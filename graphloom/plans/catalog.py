@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,11 @@ from graphloom.operators import learn as le
 from graphloom.operators import moves as mv
 from graphloom.operators import score as sc
 from graphloom.operators import search as se
+from graphloom.operators.lineage import shared_dir
 from graphloom.plans import catalog_sql, service
 from graphloom.schema import Model
 from graphloom.sources import corpora as co
+from graphloom.sources import dictionaries
 from graphloom.sources import json_graphs as jg
 
 RULES = [lb.Rule(True, ".+"), lb.Rule(False, "Brand#1.*"), lb.Rule(True, "Brand#13"), lb.Rule(False, "R"), lb.Rule(False, r"[0-9]-.*")]
@@ -70,6 +73,16 @@ def dictionary(spark, d):
     return lb.dictionary(g.nodes.select("label"), g.arcs.select(F.col("rel").alias("label")))
 
 
+def growing_dictionary(spark, d):
+    """Ids after the labels of nodes, and then those of relations and part names, were committed, one of the
+    batches twice."""
+    g, path = co.orders_graph(spark, d), f"{shared_dir(spark).rstrip('/')}/graphloom-dictionary-{uuid.uuid4().hex}"
+    more = g.arcs.select(F.col("rel").alias("label")).unionByName(co.parts_graph(spark, d).nodes.select("label"))
+    for batch, labels in (("1", g.nodes), ("2", more), ("1", more)):
+        dictionaries.commit(labels.select("label"), path, batch)
+    return dictionaries.load(spark, path)
+
+
 def _ranked(rank, beam):
     return lambda spark, d: rank(ft.pair_counts(_orders(spark, d)[1]), beam, "n").withColumn("rn", F.col("rn").cast("long"))
 
@@ -362,7 +375,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 } | {
     f.__name__: f
     for f in (
-        pair_feature_counts, factor_feature_counts, label_frequency, rare_label_collapse, unknown_labels, valid_labels, dictionary, factor_candidates, total_score, node_score, pair_score, nbest, nbest_valid,
+        pair_feature_counts, factor_feature_counts, label_frequency, rare_label_collapse, unknown_labels, valid_labels, dictionary, growing_dictionary, factor_candidates, total_score, node_score, pair_score, nbest, nbest_valid,
         node_degree, known_relation_degree, arc_pass_eligible, histogram_degree, scope_conflicts, unique_conflict_node, confusion_stats, showgraph_nodes, showgraph_edges, model_top_labels, kfold_assignment, reshuffled_passes, fold_models, pl_partition_function,
         pl_gradient_pass1, pl_weights_after_pass1, one_sweep_argmax, precision_stats, label_error_report, node_moves_round, arc_moves_round, factor_moves_round, swap_moves_round, greedy_layers, map_inference, map_inference_scopes, eval_error_stats, ssvm_pass, train_pl, train_ssvm, train_pl_ssvm, cross_validation, bp_inference, json_round_trip,
         string_functions, rpc_dispatch,

@@ -184,6 +184,9 @@ SQL: dict[str, str] = {
         SELECT CASE WHEN label IN (SELECT label FROM seen) THEN label ELSE '<unknown>' END AS label, count(*) AS n FROM nodes WHERE NOT given GROUP BY 1""",
     "valid_labels": f"WITH {ORDERS} SELECT label, {VALID} AS valid FROM freq",
     "dictionary": f"WITH {ORDERS}, l AS (SELECT label FROM nodes UNION SELECT rel FROM arcs) SELECT label, row_number() OVER (ORDER BY label) - 1 AS id FROM l",
+    "growing_dictionary": f"""WITH {ORDERS}, a AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS id FROM (SELECT DISTINCT label FROM nodes)),
+        b AS (SELECT rel AS label FROM arcs UNION SELECT name FROM lines UNION SELECT brand FROM lines), c AS (SELECT label FROM b WHERE label NOT IN (SELECT label FROM a))
+        SELECT * FROM a UNION ALL SELECT label, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY label) - 1 FROM c""",
     "candidates_by_b": f"WITH {ORDERS}, {candidates(4)} SELECT * FROM ca WHERE rn <= 4",
     "candidates_by_a": f"WITH {ORDERS}, {candidates(4)} SELECT * FROM cb WHERE rn <= 4",
     "candidates_by_rel": f"WITH {ORDERS} SELECT rel, label_a, label_b, n, row_number() OVER (PARTITION BY rel ORDER BY n DESC, label_a DESC, label_b DESC) AS rn FROM feat QUALIFY rn <= 8",

@@ -13,6 +13,7 @@ from graphloom.functions import strings as st
 from graphloom.operators import features as ft
 from graphloom.plans import service
 from graphloom.sources import corpora as co
+from graphloom.sources import dictionaries
 from graphloom.sources import json_graphs as jg
 from graphloom.sources import model_io, records
 from graphloom.streaming import serve
@@ -72,6 +73,21 @@ def test_model_round_trip(spark, sf, tmp_path):
         assert a.exceptAll(b.select(a.columns)).count() == 0 and a.count() == b.count()
 
 
+def test_dictionary_keeps_its_ids(spark, tmp_path):
+    path, of = str(tmp_path / "d"), lambda *x: spark.createDataFrame([(v,) for v in x], "label string")
+    ids = lambda: {r.label: r.id for r in dictionaries.load(spark, path).collect()}
+    assert ids() == {}
+    assert dictionaries.commit(of("b", "d", None, "b"), path, "1") and ids() == {"b": 0, "d": 1}
+    assert not dictionaries.commit(of("x"), path, "1") and ids() == {"b": 0, "d": 1}
+    (tmp_path / "d" / "batch-2").mkdir()  # a commit that didn't end
+    (tmp_path / "d" / "batch-2" / "part-0.parquet").write_bytes(b"")
+    assert ids() == {"b": 0, "d": 1}
+    assert dictionaries.commit(of("c", "a", "d"), path, "2") and ids() == {"b": 0, "d": 1, "a": 2, "c": 3}
+    assert dictionaries.commit(of(), path, "3") and len(ids()) == 4
+    got = {r.label: r.label_id for r in dictionaries.with_ids(of("c", None, "z"), dictionaries.load(spark, path)).collect()}
+    assert got == {"c": 3, None: None, "z": -1}
+
+
 def test_log_is_in_utc(spark, tmp_path):
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
