@@ -111,11 +111,11 @@ def train_pl(graphs: Graphs, model: Model, passes: int = 24, rate: float = 0.1,
     return model
 
 
-def train_ssvm(graphs: Graphs, model: Model, passes: int = 24, rate: float = 0.1, stop: float = 1e-4, margin: float = 0.1, regularization: float = 2.0, options: se.Options | None = None) -> tuple[Model, list[dict]]:
-    """Max-margin passes.  A pass whose error rate rose is undone and the rate halves."""
+def descend(step: Callable[[Model, float, int], tuple[Model, DataFrame]], model: Model, passes: int, rate: float, stop: float) -> tuple[Model, list[dict]]:
+    """Passes of ``step`` (model, rate, number of the pass).  One whose error rate rose is undone and the rate halves."""
     last, log = 1.0, []
     for p in range(passes):
-        moved, stats = ssvm_step(graphs, model, rate, margin, regularization, options)
+        moved, stats = step(model, rate, p)
         seen = stats.first().asDict()
         log.append({"pass": p, "rate": rate, **seen})
         if seen["error_rate"] is not None and seen["error_rate"] > last:
@@ -127,6 +127,11 @@ def train_ssvm(graphs: Graphs, model: Model, passes: int = 24, rate: float = 0.1
     return model, log
 
 
+def train_ssvm(graphs: Graphs, model: Model, passes: int = 24, rate: float = 0.1, stop: float = 1e-4, margin: float = 0.1, regularization: float = 2.0, options: se.Options | None = None) -> tuple[Model, list[dict]]:
+    """Max-margin passes over all graphs at once."""
+    return descend(lambda model, rate, p: ssvm_step(graphs, model, rate, margin, regularization, options), model, passes, rate, stop)
+
+
 def train_pl_ssvm(graphs: Graphs, model: Model, pl_passes: int = 10, ssvm_rate: float = 0.1, **kw) -> tuple[Model, list[dict]]:
     """Pseudo-likelihood passes first, then max-margin ones from the weights they found."""
     return train_ssvm(graphs, train_pl(graphs, model, passes=pl_passes), rate=ssvm_rate, **kw)
