@@ -14,10 +14,12 @@ from graphloom.operators import evaluate as ev
 from graphloom.operators import explain as ex
 from graphloom.operators import features as ft
 from graphloom.operators import learn as le
+from graphloom.operators import maintained as mt
 from graphloom.operators import moves as mv
+from graphloom.operators import online as on
 from graphloom.operators import score as sc
 from graphloom.operators import search as se
-from graphloom.operators.lineage import shared_dir
+from graphloom.operators.lineage import cut, shared_dir
 from graphloom.plans import catalog_sql, service
 from graphloom.schema import Model
 from graphloom.sources import corpora as co
@@ -160,6 +162,12 @@ def train_pl_ssvm(spark, d):
     return le.train_pl_ssvm(g, le.initial_weights(ft.count_model(g)), pl_passes=1, passes=2)[0].pairs
 
 
+def online_pass(spark, d):
+    """Weights after a max-margin pass that learns the dialogs one after another."""
+    g = co.dialog_graph(spark, d)
+    return on.online_pass(g, le.initial_weights(ft.count_model(g)), 0.1)[0].pairs
+
+
 def cross_validation(spark, d):
     """Pooled statistics of three folds of dialogs, each predicted under the counts of the others."""
     return le.cross_validate(co.dialog_graph(spark, d), 3, lambda graphs, model: ft.count_model(graphs))
@@ -215,6 +223,17 @@ def fold_models(spark, d):
     return best.withColumns({"fold": F.col("fold").cast("long"), "rn": F.col("rn").cast("long")})
 
 
+def maintained_candidates(spark, d):
+    """The candidates after all orders were counted and those that are finished were withdrawn."""
+    g, found = _orders(spark, d)
+    counts = cut(ft.pair_counts(found))
+    finished = g.nodes.where("node = 1 and label = 'F'").select("query_id")
+    delta = cut(mt.signed_counts(None, found.join(finished, "query_id", "left_semi")))
+    index = cut(ft.candidates_by_b(counts, 4, "n"))
+    best = mt.revised_candidates(index, mt.revised_counts(counts, delta), delta, 4)
+    return best.withColumn("rn", F.col("rn").cast("long"))
+
+
 def _pl(spark, d):
     g, found = _orders(spark, d)
     return g, found, le.initial_weights(ft.count_model(g, use_factors=False))
@@ -376,8 +395,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         pair_feature_counts, factor_feature_counts, label_frequency, rare_label_collapse, unknown_labels, valid_labels, dictionary, growing_dictionary, factor_candidates, total_score, node_score, pair_score, nbest, nbest_valid,
-        node_degree, known_relation_degree, arc_pass_eligible, histogram_degree, scope_conflicts, unique_conflict_node, confusion_stats, showgraph_nodes, showgraph_edges, model_top_labels, kfold_assignment, reshuffled_passes, fold_models, pl_partition_function,
-        pl_gradient_pass1, pl_weights_after_pass1, one_sweep_argmax, precision_stats, label_error_report, node_moves_round, arc_moves_round, factor_moves_round, swap_moves_round, greedy_layers, map_inference, map_inference_scopes, eval_error_stats, ssvm_pass, train_pl, train_ssvm, train_pl_ssvm, cross_validation, bp_inference, json_round_trip,
+        node_degree, known_relation_degree, arc_pass_eligible, histogram_degree, scope_conflicts, unique_conflict_node, confusion_stats, showgraph_nodes, showgraph_edges, model_top_labels, kfold_assignment, reshuffled_passes, fold_models, maintained_candidates, pl_partition_function,
+        pl_gradient_pass1, pl_weights_after_pass1, one_sweep_argmax, precision_stats, label_error_report, node_moves_round, arc_moves_round, factor_moves_round, swap_moves_round, greedy_layers, map_inference, map_inference_scopes, eval_error_stats, ssvm_pass, train_pl, train_ssvm, train_pl_ssvm, online_pass, cross_validation, bp_inference, json_round_trip,
         string_functions, rpc_dispatch,
     )
 }

@@ -227,6 +227,8 @@ SQL: dict[str, str] = {
     "fold_models": f"""WITH {ORDERS}, ids AS (SELECT query_id, row_number() OVER (ORDER BY query_id) % 5 AS fold FROM (SELECT DISTINCT query_id FROM nodes)), k AS (SELECT unnest(range(0, 5)) AS fold),
         r AS (SELECT k.fold, label_a, label_b, rel, count(*) AS n FROM inst JOIN ids USING (query_id) JOIN k ON k.fold <> ids.fold GROUP BY ALL)
         SELECT fold, label_b AS ctx, rel, label_a AS cand, n, row_number() OVER (PARTITION BY fold, label_b, rel ORDER BY n DESC, label_a DESC) AS rn FROM r QUALIFY rn <= 4""",
+    "maintained_candidates": f"""WITH {ORDERS}, r AS (SELECT label_a, label_b, rel, count(*) AS n FROM inst WHERE query_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL)
+        SELECT label_b AS ctx, rel, label_a AS cand, n, row_number() OVER (PARTITION BY label_b, rel ORDER BY n DESC, label_a DESC) AS rn FROM r QUALIFY rn <= 4""",
     "pl_partition_function": f"WITH {PL} SELECT query_id, node, CAST(sum(times) AS BIGINT) AS n, round(max(p), 6) AS top_p FROM pr GROUP BY ALL",
     "pl_gradient_pass1": f"WITH {PL}, {gradient('CAST(0.1 AS DOUBLE)')} SELECT label_a, label_b, rel, round(g, 4) AS g FROM grad",
     "pl_weights_after_pass1": f"""WITH {PL}, {gradient("(SELECT CAST(0.01 AS DOUBLE) / count(DISTINCT query_id) FROM nodes)")}
