@@ -35,8 +35,9 @@ def _orders(spark: SparkSession, sf_dir: str):
 
 
 def _whole(model: Model) -> Model:
-    """Counts as whole numbers, which both engines print alike."""
-    return Model(model.pairs.withColumn("weight", F.col("weight").cast("long")), model.factors.withColumn("weight", F.col("weight").cast("long")), model.label_freq)
+    """Counts as whole numbers, which both engines print alike, written once: a small model then has a known size, and
+    corpora aren't shuffled to meet it."""
+    return le.settled(Model(model.pairs.withColumn("weight", F.col("weight").cast("long")), model.factors.withColumn("weight", F.col("weight").cast("long")), model.label_freq))
 
 
 def pair_feature_counts(spark, d):
@@ -91,13 +92,13 @@ def _ranked(rank, beam):
 
 def factor_candidates(spark, d):
     groups = ft.factor_instances(co.orders_graph(spark, d))
-    found = ft.factor_candidates(groups, ft.factor_counts(groups), 3, "n")
+    found = ft.factor_candidates(groups, cut(ft.factor_counts(groups)), 3, "n")
     return found.select("query_id", "factor_id", F.array_join("labels", "|").alias("labels"), "n", F.col("rn").cast("long").alias("rn"))
 
 
 def total_score(spark, d):
     _, found = _orders(spark, d)
-    return sc.total_scores(found, ft.pair_counts(found), "n")
+    return sc.total_scores(found, cut(ft.pair_counts(found)), "n")
 
 
 def node_score(spark, d):
@@ -108,7 +109,7 @@ def node_score(spark, d):
 
 def pair_score(spark, d):
     _, found = _orders(spark, d)
-    return sc.pair_scores(found, ft.pair_counts(found), "n")
+    return sc.pair_scores(found, cut(ft.pair_counts(found)), "n")
 
 
 def nbest(spark, d):
@@ -119,7 +120,7 @@ def nbest(spark, d):
 
 def nbest_valid(spark, d):
     g, found = _orders(spark, d)
-    valid = lb.valid_labels(ft.label_frequency(g.nodes), RULES).where("valid")
+    valid = cut(lb.valid_labels(ft.label_frequency(g.nodes), RULES).where("valid"))
     return sc.n_best(sc.adjacency(found), ft.factor_instances(g), _whole(ft.count_model(g)), 1, valid).select("query_id", "node", "cand", "score")
 
 
@@ -236,7 +237,7 @@ def maintained_candidates(spark, d):
 
 def _pl(spark, d):
     g, found = _orders(spark, d)
-    return g, found, le.initial_weights(ft.count_model(g, use_factors=False))
+    return g, found, le.settled(le.initial_weights(ft.count_model(g, use_factors=False)))
 
 
 def pl_partition_function(spark, d):
