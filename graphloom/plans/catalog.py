@@ -54,7 +54,7 @@ def label_frequency(spark, d):
 
 def rare_label_collapse(spark, d):
     g, found = _orders(spark, d)
-    freq = ft.label_frequency(g.nodes)
+    freq = cut(ft.label_frequency(g.nodes))
     least = int(freq.agg(F.percentile("n_queries", 0.5)).first()[0] or 0)
     return ft.collapse_rare(ft.pair_counts(found), freq, least, "<unknown>", "n")
 
