@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.features import label_frequency
+from graphloom.operators.lineage import apart
 from graphloom.schema import Graphs
 
 RANGES = 64  #: of query ids
@@ -14,7 +15,7 @@ RANGES = 64  #: of query ids
 def compared(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """(query_id, node, expected, predicted) of every node to infer of ``gold``."""
     got = predicted.select("query_id", "node", F.col("label").alias("predicted"))
-    return gold.where("not given").select("query_id", "node", F.col("label").alias("expected")).join(got, ["query_id", "node"], "left")
+    return gold.where("not given").select("query_id", "node", F.col("label").alias("expected")).join(apart(got), ["query_id", "node"], "left")
 
 
 def precision(pairs: DataFrame, unknown: str | None = None) -> DataFrame:
