@@ -33,6 +33,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, by: str, parts: int) -> DataFrame:
+    """``df`` written once as a table of ``parts`` buckets of ``by`` in the shared folder.
+
+    Rows that were dealt by ``by`` to as many tasks are written where they lie, and what reads the table finds them dealt so:
+    neither counting nor scoring a corpus has to shuffle it again.
+    """
+    name = f"graphloom_kept_{uuid.uuid4().hex}"
+    place = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}"
+    df.write.format("parquet").bucketBy(parts, by).option("path", place).option("compression", "zstd").saveAsTable(name)
+    table = df.sparkSession.table(name)
+    return table.toDF(*table.columns)  # names without that of the table: a union compares how its parts are dealt by whole names
+
+
 def apart(df: DataFrame) -> DataFrame:
     """``df``, a table with rows for every graph, to be joined where it lies: by sort and merge, however small it is.
 

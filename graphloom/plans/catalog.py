@@ -29,8 +29,9 @@ from graphloom.sources import json_graphs as jg
 RULES = [lb.Rule(True, ".+"), lb.Rule(False, "Brand#1.*"), lb.Rule(True, "Brand#13"), lb.Rule(False, "R"), lb.Rule(False, r"[0-9]-.*")]
 
 
-def _orders(spark: SparkSession, sf_dir: str):
-    g = co.orders_graph(spark, sf_dir)
+def _orders(spark: SparkSession, sf_dir: str, keep: bool = True):
+    """The orders graph and its arcs; not kept for a query that reads it once."""
+    g = co.orders_graph(spark, sf_dir, keep)
     return g, ft.instances(g)
 
 
@@ -41,7 +42,7 @@ def _whole(model: Model) -> Model:
 
 
 def pair_feature_counts(spark, d):
-    return ft.pair_counts(_orders(spark, d)[1])
+    return ft.pair_counts(_orders(spark, d, False)[1])
 
 
 def factor_feature_counts(spark, d):
@@ -87,11 +88,11 @@ def growing_dictionary(spark, d):
 
 
 def _ranked(rank, beam):
-    return lambda spark, d: rank(ft.pair_counts(_orders(spark, d)[1]), beam, "n").withColumn("rn", F.col("rn").cast("long"))
+    return lambda spark, d: rank(ft.pair_counts(_orders(spark, d, False)[1]), beam, "n").withColumn("rn", F.col("rn").cast("long"))
 
 
 def factor_candidates(spark, d):
-    groups = ft.factor_instances(co.orders_graph(spark, d))
+    groups = ft.factor_instances(co.orders_graph(spark, d, keep=True))
     found = ft.factor_candidates(groups, cut(ft.factor_counts(groups)), 3, "n")
     return found.select("query_id", "factor_id", F.array_join("labels", "|").alias("labels"), "n", F.col("rn").cast("long").alias("rn"))
 
@@ -285,7 +286,7 @@ def _round(b, proposals, at, factors):
 
 
 def _orders_board(spark, d):
-    g = co.orders_graph(spark, d)
+    g = co.orders_graph(spark, d, keep=True)
     b = mv.board(g, _whole(ft.count_model(g)))
     return b, mv.arcs_at(b), mv.factors_of(b)
 
@@ -310,7 +311,7 @@ def factor_moves_round(spark, d):
 
 def swap_moves_round(spark, d):
     """A round of node moves and swaps of part names inside orders, whose names are kept apart."""
-    g = co.parts_graph(spark, d)
+    g = co.parts_graph(spark, d, keep=True)
     b = mv.board(g, _whole(ft.count_model(g)))
     at = mv.arcs_at(b)
     return _round(b, mv.node_proposals(b, at, 8), at, None)
@@ -328,12 +329,12 @@ def greedy_layers(spark, d):
 
 
 def map_inference(spark, d):
-    g = co.orders_graph(spark, d)
+    g = co.orders_graph(spark, d, keep=True)
     return se.infer(g.with_nodes(se.cleared(g.nodes)), ft.count_model(g))
 
 
 def map_inference_scopes(spark, d):
-    g = co.parts_graph(spark, d)
+    g = co.parts_graph(spark, d, keep=True)
     return se.infer(g.with_nodes(se.cleared(g.nodes)), ft.count_model(g))
 
 

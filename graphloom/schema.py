@@ -11,7 +11,9 @@ A corpus holds many small graphs, each with a ``query_id``:
 
 A source that knows the labels of an arc's nodes may put them into the columns ``end_a`` and ``end_b`` (structs of
 label and given, null where there is no such node), and those of a factor into ``members`` (structs of node, label
-and given by node, each node once; null where one of them is no node): they need not be looked up then.
+and given by node, each node once; null where one of them is no node): they need not be looked up then.  A row without a query_id
+has no nodes.  Rows are not sifted by query_id: tables that are dealt by it would no longer look alike to a union of
+them, which then shuffles its rows.
 """
 
 from __future__ import annotations

@@ -34,3 +34,17 @@ def test_carried_labels_are_those_of_the_nodes(spark, tmp_path, sf):
 def test_orders_are_shuffled_by_order_only_once_for_all_labels(spark, sf, name):
     plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Window [first(of" in x]
+
+
+@pytest.mark.parametrize("name", ["node_score", "nbest_valid", "one_sweep_argmax", "pl_partition_function"])
+def test_kept_orders_are_scored_where_they_lie(spark, sf, name):
+    """Lines are dealt by order when they are kept; nothing that is scored is dealt again by order, node or candidate."""
+    plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(query_id" in x]
+
+
+def test_lines_without_an_order_stay_nodes(spark, tmp_path):
+    d = _odd_orders(spark, tmp_path / "odd")
+    kept, not_kept = (co.orders_graph(spark, d, keep).nodes for keep in (True, False))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, not_kept.collect()))
+    assert kept.where("query_id is null").count() == 2
